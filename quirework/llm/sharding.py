@@ -19,9 +19,9 @@ text, so equal texts lie together.
 Records are narrow (id, group, size, checksum), written once; texts never move.
 Slots are numbered within the ranges, each of which has a bounded size.
 
-Rows that agree in all four columns are one record with a count, so that a row
-that repeats without end is no hot key; a range that still holds one record
-only is left as it is, and slots are dealt out to the copies in the end.
+Rows that agree in all four columns are counted first, so that a row that
+repeats without end is no hot key; the copies are then blocks of bounded size,
+numbered as a third part of the key, and slots are dealt out to them in the end.
 
 Defined results: a null text has no bytes, size 1 and the checksum of no bytes,
 0. A null id sorts first. Shards may be empty when there are fewer records than
@@ -79,7 +79,7 @@ def range_of(key: Column, splitters: list, steps: str) -> Column:
 
 def _literal(splitters: list) -> str:
     if splitters and isinstance(splitters[0], tuple):
-        return "array(" + ",".join(f"struct({_long(g)} as g, {_long(i)} as i)" for g, i in splitters) + ")"
+        return "array(" + ",".join(f"struct({_long(g)} as g, {_long(i)} as i, {_long(k)} as k)" for g, i, k in splitters) + ")"
     return "array(" + ",".join(_long(g) for g in splitters) + ")"
 
 
@@ -87,14 +87,22 @@ def _long(v: int) -> str:
     return "(-9223372036854775807L - 1L)" if v == _LEAST else f"({v}L)"
 
 
-def _pair() -> Column:
-    return F.struct(F.col("group").alias("g"), F.coalesce("id", F.lit(_LEAST)).alias("i"))
+def _key() -> Column:
+    return F.struct(F.col("group").alias("g"), F.coalesce("id", F.lit(_LEAST)).alias("i"), F.col("block").alias("k"))
+
+
+def blocks_of(records: DataFrame, ranges: int) -> tuple[DataFrame, int]:
+    """``records`` with their copies in blocks of at most the size of a range; the bytes of all."""
+    total = records.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
+    each = F.greatest(F.lit(1), F.floor(F.lit(total / ranges) / F.col("size"))).cast("long")
+    cut = records.withColumn("each", each).withColumn("block", F.explode(F.expr("sequence(0L, (n - 1) div each)")))
+    return cut.withColumn("n", F.least("each", F.col("n") - F.col("block") * F.col("each"))).drop("each"), total
 
 
 def _sampled(rows: DataFrame, rate: float, seed: int) -> DataFrame:
     """Rows in proportion to their size; ``rate``: expected samples a byte."""
     weight = F.col("size") * F.col("n") * F.lit(rate)
-    draw = F.pmod(F.xxhash64("group", "id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    draw = F.pmod(F.xxhash64("group", "id", "block", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return rows.where(draw < weight)
 
 
@@ -103,11 +111,10 @@ def _quantiles(keys: list, pieces: int) -> list:
     return sorted({keys[k * len(keys) // pieces] for k in range(1, pieces)}) if keys else []
 
 
-def plan_ranges(records: DataFrame, ranges: int, seed: int = 7) -> tuple[list[tuple], int]:
-    """Splitters (group, id) that cut ``records`` into about ``ranges`` of like size, and the bytes of all."""
-    total = records.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
+def plan_ranges(records: DataFrame, total: int, ranges: int, seed: int = 7) -> list[tuple]:
+    """Splitters (group, id, block) that cut ``records`` into about ``ranges`` of like size."""
     if not total:
-        return [], 0
+        return []
     want = ranges * SAMPLES_PER_RANGE
     drawn = [r[0] for r in _sampled(records, want / total, seed).select("group").collect()]
     firsts = _quantiles(drawn, ranges)
@@ -118,16 +125,16 @@ def plan_ranges(records: DataFrame, ranges: int, seed: int = 7) -> tuple[list[tu
     sums = {r[0]: r[1] for r in records.groupBy(at.alias("r")).agg(F.sum(F.col("size") * F.col("n"))).collect()}
     bound = 2 * total / ranges
     over = sorted(r for r, b in sums.items() if b > bound)
-    cuts = {(g, _LEAST) for g in firsts}
+    cuts = {(g, _LEAST, _LEAST) for g in firsts}
     if over:
         inside = records.withColumn("r", at).where(F.col("r").isin(over))
         finer = _sampled(inside, 2 * want / total, seed + 1)
         held: dict[int, list] = {}
-        for r, g, i in finer.select("r", "group", F.coalesce("id", F.lit(_LEAST))).collect():
-            held.setdefault(r, []).append((g, i))
+        for r, key in finer.select("r", _key()).collect():
+            held.setdefault(r, []).append(tuple(key))
         for r, keys in held.items():
             cuts.update(_quantiles(keys, -(-int(2 * sums[r] * ranges) // total)))
-    return sorted(cuts), total
+    return sorted(cuts)
 
 
 def assign_shards(
@@ -140,8 +147,9 @@ def assign_shards(
 ) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of each row of ``docs``."""
     records = durable(records_of(docs, id_col, text_col))
-    splitters, total = plan_ranges(records, shards * ranges_per_shard)
-    ranged = records.withColumn("r", range_of(_pair(), splitters, _literal(splitters)))
+    records, total = blocks_of(records, shards * ranges_per_shard)
+    splitters = plan_ranges(records, total, shards * ranges_per_shard)
+    ranged = records.withColumn("r", range_of(_key(), splitters, _literal(splitters)))
     stats = sorted(ranged.groupBy("r").agg(F.sum(F.col("size") * F.col("n")), F.sum("n")).collect())
     # the ranges in which the shards end
     starts, before = [], 0
@@ -158,8 +166,12 @@ def assign_shards(
     if goals:
         # within a range of whole groups the unit is the group, else the record
         whole = _whole_groups(splitters)
-        inside = ranged.where(F.col("r").isin(sorted(goals))).withColumn("unit", F.when(F.col("r").isin(sorted(whole & set(goals))), _LEAST).otherwise(F.coalesce("id", F.lit(_LEAST))))
-        units = inside.groupBy("r", "group", "unit").agg(F.sum(F.col("size") * F.col("n")).alias("b"))
+        inside = ranged.where(F.col("r").isin(sorted(goals)))
+        merged = F.col("r").isin(sorted(whole & set(goals)))
+        unit = F.when(merged, F.struct(F.lit(_LEAST).alias("i"), F.lit(_LEAST).alias("k"))).otherwise(
+            F.struct(F.coalesce("id", F.lit(_LEAST)).alias("i"), F.col("block").alias("k"))
+        )
+        units = inside.groupBy("r", "group", unit.alias("unit")).agg(F.sum(F.col("size") * F.col("n")).alias("b"))
         upto = F.sum("b").over(Window.partitionBy("r").orderBy("group", "unit"))
         plan = [(r, float(g - offset[r])) for r, gs in goals.items() for g in gs]
         wanted = docs.sparkSession.createDataFrame(plan, "r int, goal double")
@@ -171,7 +183,7 @@ def assign_shards(
             .groupBy("r", "goal")
             .agg(F.min(F.struct("group", "unit")).alias("c"))
         )
-        got = {(x["r"], x["goal"]): (x["c"]["group"], x["c"]["unit"]) for x in found.collect()}
+        got = {(x["r"], x["goal"]): (x["c"]["group"], *x["c"]["unit"]) for x in found.collect()}
         after = {r: n for (r, *_), (n, *_) in zip(stats, stats[1:], strict=False)}
         for r, g in plan:
             if (r, g) in got:
@@ -179,12 +191,12 @@ def assign_shards(
             elif r in after:
                 cuts.append(splitters[after[r] - 1])
             else:
-                cuts.append((2**63 - 1, 2**63 - 1))
+                cuts.append((2**63 - 1,) * 3)
     cuts.sort()
     # ranges and shards at once: a splitter at every cut
     both = sorted({*splitters, *cuts})
     shard_of = [bisect_right(cuts, key) for key in both]
-    ranged = records.withColumn("r", range_of(_pair(), both, _literal(both)))
+    ranged = records.withColumn("r", range_of(_key(), both, _literal(both)))
     counts = dict(ranged.groupBy("r").agg(F.sum("n")).collect())
     first, seen = [], [0] * (shards + 1)
     table = []
@@ -195,7 +207,7 @@ def assign_shards(
         seen[s] += counts.get(r, 0)
     shard = F.get(F.expr("array(" + ",".join(map(str, table)) + ")"), F.col("r"))
     base = F.get(F.expr("array(" + ",".join(f"{x}L" for x in first) + ")"), F.col("r"))
-    order = Window.partitionBy("r").orderBy("group", "id", "size", "crc")
+    order = Window.partitionBy("r").orderBy("group", "id", "block", "size", "crc")
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         ranged.withColumn("last", upto)
@@ -214,5 +226,5 @@ def assign_shards(
 
 def _whole_groups(splitters: list[tuple]) -> set[int]:
     """Ranges that begin and end between two groups."""
-    edge = [True, *(i == _LEAST for _, i in splitters), True]
+    edge = [True, *(i == _LEAST for _, i, _ in splitters), True]
     return {r for r in range(len(splitters) + 1) if edge[r] and edge[r + 1]}
