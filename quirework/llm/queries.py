@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import exact_dedup, secret_scan, sharding, url_filter
+from . import decontamination, exact_dedup, secret_scan, sharding, simhash, token_counts, url_filter
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +118,27 @@ FROM j
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_simhash": op4_simhash,
+        "op5_decontamination": op5_decontamination,
         "op6_secret_scan": op6_secret_scan,
         "op7_url_filter": op7_url_filter,
+        "op10_token_counts": op10_token_counts,
     }
 
 
