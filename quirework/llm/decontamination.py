@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import col, ship_package
+from .words import trimmed
 
 # The masks; six tokens each.
 MASKS = ("111111", "1101100101", "1010011011")
@@ -42,18 +43,6 @@ _MEMO_WORDS = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
-def trimmed(word: str) -> str:
-    """``word`` lower-cased, without what is neither letter nor digit at its ends."""
-    if word.isalnum():
-        return word.lower()
-    a, b = 0, len(word)
-    while a < b and not word[a].isalnum():
-        a += 1
-    while b > a and not word[b - 1].isalnum():
-        b -= 1
-    return word[a:b].lower()
-
-
 class _Ids(dict):
     """Raw words to ids of the benchmark's tokens: 0 for other tokens, -1 for none."""
 

@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import decontamination, exact_dedup, secret_scan, sharding, simhash, token_counts, url_filter
+from . import (
+    decontamination,
+    exact_dedup,
+    lm_scoring,
+    packing,
+    secret_scan,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,14 +141,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_toxicity": op3_toxicity,
         "op4_simhash": op4_simhash,
         "op5_decontamination": op5_decontamination,
         "op6_secret_scan": op6_secret_scan,
         "op7_url_filter": op7_url_filter,
+        "op8_packing": op8_packing,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_token_counts": op10_token_counts,
     }
 

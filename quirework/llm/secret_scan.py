@@ -134,7 +134,7 @@ def scan(
         new.write.mode("append").parquet(ledger_dir)
         ledger = spark.read.parquet(ledger_dir).where(F.col("rule_version") == version).dropDuplicates(["blob"])
     else:
-        ledger = new
+        ledger = durable(new)  # the join below then is one of two tables, which Spark can split where one blob has many paths
     paths = versions.select(*(col(c) for c in path_cols), _blob(text).alias(blob := _free("blob", path_cols)))
     out = _free("findings", path_cols)
     ledger = ledger.select(F.col("blob").alias(blob), F.col("findings").alias(out))
