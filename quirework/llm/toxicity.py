@@ -41,7 +41,7 @@ TRAIN_ROWS = 10_000
 FEATURES = 256
 LEAST_DOCS = 4
 FOLDS = 3
-RIDGE = 1.0
+RIDGE = 0.1
 CUT = 0.5
 _MEMO_WORDS = 1 << 20
 
