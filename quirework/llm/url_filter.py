@@ -159,7 +159,8 @@ def judge(
         hosts = hosts.join(of, key, "left")
     top = F.struct(F.lit(base["mean"]).alias("mean"), F.lit(base["weight"]).alias("weight"))
     p = F.coalesce("p3", "p2", "p1", top)
-    blocked = hosts.select("host", (lower_bound(p["mean"], p["weight"], z) > threshold).alias("blocked"))
+    # written once: the join below then is one of two tables, which Spark can split where one host has many pages
+    blocked = durable(hosts.select("host", (lower_bound(p["mean"], p["weight"], z) > threshold).alias("blocked")))
     rule, act = fitting_rule(F.col("host"), F.col("path"), rules)
     return seen.join(blocked, "host").select(
         F.col("id").alias(id_col),
