@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exporting, geometry, layouts, pixels, progress, quality, sourcing
+
+_PARTS = (layouts, geometry, exporting, quality, progress, pixels, sourcing)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.SQL.items()}
