@@ -26,7 +26,7 @@ SETTINGS_DDL = (
 DEFAULTS = {
     "detect": {"enabled": True},
     "ocr": {"language": "eng", "providerId": "tesseract"},
-    "preprocess": {"binarizer": "sauvola", "denoiseRadius": 0, "deskew": True, "orientationDetect": True},
+    "preprocess": {"binarizer": "sauvola", "denoiseRadius": 1, "deskew": True, "orientationDetect": True},
     "render": {"dpi": 300},
 }
 
