@@ -1,2 +1,97 @@
-QUERIES = {}
-SQL = {}
+"""Queries over sources. Files are generated from the tables' rows, as bytes."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import files
+from ..runtime import ship_package, table
+
+
+def _bytes(*hexes):
+    return F.unhex(F.concat(*hexes))
+
+
+def png_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes read back from the headers of PNGs as wide and high as the documents' ids say."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    n = lambda c: F.lpad(F.hex(c), 8, "0")
+    w, h = F.pmod(F.col("doc_id") * 977, F.lit(70000)), F.pmod(F.col("doc_id") * 613, F.lit(9000))
+    content = _bytes(F.lit("89504E470D0A1A0A0000000D49484452"), n(w), n(h), F.lit("0802000000"))
+    return docs.select("doc_id", files.png_size(content).alias("s")).select("doc_id", "s.width", "s.height")
+
+
+def exif_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orientations 0 to 9 in either byte order, behind another segment, or absent."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    o, little = F.pmod("doc_id", F.lit(10)), F.pmod(F.col("doc_id"), F.lit(4)) < 2
+    value = F.lpad(F.hex(o), 2, "0")
+    tiff = F.when(
+        little, F.concat(F.lit("49492A00080000000100120103000100000"), F.lit("0"), value, F.lit("00000000000000"))
+    ).otherwise(F.concat(F.lit("4D4D002A00000008000101120003000000010"), F.lit("0"), value, F.lit("000000000000")))
+    other = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit("FFE00004AAAA")).otherwise("")
+    jpeg = F.concat(F.lit("FFD8"), other, F.lit("FFE10022457869660000"), tiff, F.lit("FFDA"))
+    content = F.unhex(F.when(F.pmod("doc_id", F.lit(11)) == 0, F.lit("FFD8FFDA0000")).otherwise(jpeg))
+    return docs.select("doc_id", files.exif_orientation_of(content).alias("orientation"))
+
+
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made from urls: extension, type, and whether they are images or ingested."""
+    pages = table(spark, sf_dir, "pages")
+    ends = F.array(*map(F.lit, (".pdf", ".JPG", ".jpeg", ".Png", ".txt", "")))
+    name = F.concat(F.substring_index("url", "/", -1), F.get(ends, F.pmod("page_id", F.lit(6)).cast("int")))
+    rows = pages.select("page_id", name.alias("name"))
+    return rows.select(
+        "page_id", files.extension_of(F.col("name")).alias("extension"), files.mime_of(F.col("name")).alias("mime"),
+        files.is_image_name(F.col("name")).alias("is_image"), files.is_ingestible(F.col("name")).alias("ingested"),
+    )
+
+
+def zip_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each benchmark item: two pages in folders and a note that is left out."""
+    ship_package(spark)
+
+    def pack(batches):
+        for pdf in batches:
+            out = []
+            for i, t in zip(pdf["item_id"], pdf["text"], strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    z.writestr(f"a{i}.pdf", (t or "").encode())
+                    z.writestr(f"nested/b{i}.PNG", b"x" * int(i % 7))
+                    z.writestr("README.txt", b"note")
+                out.append(held.getvalue())
+            yield pd.DataFrame({"path": "zip" + pdf["item_id"].astype(str), "content": out})
+
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text").mapInPandas(pack, "path string, content binary")
+    return files.zip_entries(bench).select("path", "name", "mime", "size_bytes")
+
+
+def recogniser_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of conversations as dictionary files: the number of entries and the last but one."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", files.recogniser_dictionary(F.coalesce("text", F.lit(""))).alias("d"))
+    return turns.select("conv_id", "turn", F.size("d").alias("n"), F.get("d", F.size("d") - 2).alias("last"))
+
+
+QUERIES = {f.__name__: f for f in (png_header, exif_orientations, file_kinds, zip_entries, recogniser_dictionary)}
+
+SQL = {
+    "png_header": "SELECT doc_id, CAST(doc_id * 977 % 70000 AS INT) AS width, CAST(doc_id * 613 % 9000 AS INT) AS height FROM documents",
+    "exif_orientations": "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE CAST(least(8, greatest(1, doc_id % 10)) AS INT) END AS orientation FROM documents",
+    "file_kinds": """
+WITH n AS (SELECT page_id, regexp_extract(url, '[^/]*$', 0) || ['.pdf', '.JPG', '.jpeg', '.Png', '.txt', ''][page_id % 6 + 1] AS name FROM pages),
+e AS (SELECT page_id, name, lower(string_split(name, '.')[-1]) AS extension FROM n)
+SELECT page_id, extension, CASE extension WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' END AS mime,
+       extension IN ('jpg', 'jpeg', 'png') AS is_image, regexp_matches(name, '(?i)\\.(pdf|jpe?g|png)$') AS ingested FROM e""",
+    "zip_entries": """
+SELECT 'zip' || item_id || '!a' || item_id || '.pdf' AS path, 'a' || item_id || '.pdf' AS name, 'application/pdf' AS mime, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes FROM benchmark
+UNION ALL SELECT 'zip' || item_id || '!nested/b' || item_id || '.PNG', 'b' || item_id || '.PNG', 'image/png', item_id % 7 FROM benchmark""",
+    "recogniser_dictionary": """
+WITH d AS (SELECT conv_id, turn, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: replace(s, chr(13), '')), lambda s: s <> '') AS d FROM conversations)
+SELECT conv_id, turn, CAST(len(d) + 2 AS INT) AS n, CASE WHEN len(d) > 0 THEN d[-1] ELSE '' END AS last FROM d""",
+}

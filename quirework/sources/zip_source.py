@@ -1,0 +1,41 @@
+"""A data source "pagezip": the pages inside local archives, one partition for each archive.
+
+    spark.dataSource.register(PageZip)
+    spark.read.format("pagezip").load("/folder/*.zip")
+"""
+
+from __future__ import annotations
+
+import glob
+import zipfile
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .files import MIME
+
+
+class PageZip(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "pagezip"
+
+    def schema(self) -> str:
+        return "archive string, name string, mime string, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options["path"])
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self):
+        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
+
+    def read(self, partition):
+        with zipfile.ZipFile(partition.value) as held:
+            for e in held.infolist():
+                kind = e.filename.rsplit(".", 1)[-1].lower()
+                if "." in e.filename and kind in MIME:
+                    yield partition.value, e.filename.rsplit("/", 1)[-1], MIME[kind], held.read(e)
