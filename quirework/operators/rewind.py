@@ -80,7 +80,7 @@ def drop_stage(page_stage: DataFrame, project_id: str, stage: str) -> tuple[Data
 def enumerate_pages(projects: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows for all pages of the projects; rows that exist keep what they hold."""
     wanted = projects.where(F.col("page_count") > 0).select(
-        "project_id", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).cast("int").alias("page_index")
+        "project_id", F.explode(F.sequence(F.lit(0), F.col("page_count").cast("int") - 1)).alias("page_index")
     )
     new = wanted.join(pages.select(*PAGE_KEY), PAGE_KEY, "left_anti")
     return pages.unionByName(new, allowMissingColumns=True)
