@@ -6,7 +6,7 @@ masked hashes of the documents are joined with those of the benchmark. Around
 each hit the two texts are laid over each other and compared token by token: a
 document is contaminated by an item if some stretch of at least
 ``min(tokens of the item, LEAST)`` tokens agrees in at least ``SHARE`` of them.
-Items too short for the masks are looked for whole.
+Items of fewer than ``WHOLE`` tokens are looked for whole.
 
 The benchmark is taken in blocks of bounded bytes, each sent to the executors
 once; a benchmark beyond one block means more passes over the documents, not a
@@ -34,8 +34,11 @@ from pyspark.sql import functions as F
 from ..runtime import col, ship_package
 from .words import trimmed
 
-# The masks; six tokens each.
-MASKS = ("111111", "1101100101", "1010011011")
+# The masks, five tokens each, and four for short items, of which a stretch holds fewer seeds.
+MASKS = ("11111", "1110101", "1101011", "1011000101")
+SHORT_MASKS = ("1111", "110101", "1011001", "1100101")
+SHORT = 12
+WHOLE = 10  # items with fewer tokens are looked for whole
 LEAST = 20
 SHARE = 0.8
 BLOCK_BYTES = 8 << 20
@@ -60,7 +63,7 @@ class _Ids(dict):
 class SeedIndex:
     """The masked hashes of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[object, str]], masks=MASKS, least: int = LEAST, share: float = SHARE):
+    def __init__(self, items: list[tuple[object, str]], least: int = LEAST, share: float = SHARE):
         self.least, self.share = least, share
         known: dict[str, int] = {}
         self.names, self.items = [], []
@@ -69,14 +72,15 @@ class SeedIndex:
             self.names.append(name)
             self.items.append(np.array([known.setdefault(t, len(known) + 1) for t in toks], np.int64))
         self.ids = _Ids(known)
-        span = max(map(len, masks))
-        shorts = sorted({len(x) for x in self.items if 0 < len(x) < span})
+        # each mask with the lengths of the items it is for
+        masks = [(m, SHORT, 1 << 62) for m in MASKS] + [(m, WHOLE, SHORT) for m in SHORT_MASKS]
+        masks += [("1" * n, n, n + 1) for n in sorted({len(x) for x in self.items if 0 < len(x) < WHOLE})]
         self.seeds = []
-        for mask, fits in [(m, lambda n: n >= span) for m in masks] + [("1" * n, lambda k, n=n: k == n) for n in shorts]:
+        for mask, low, high in masks:
             at = [k for k, c in enumerate(mask) if c == "1"]
             keys, item, pos = [], [], []
             for i, x in enumerate(self.items):
-                if fits(len(x)):
+                if low <= len(x) < high:
                     h = masked(x, at, len(mask))
                     keys.append(h)
                     item.append(np.full(len(h), i))
@@ -112,14 +116,14 @@ class SeedIndex:
         """(matched, doc start, item start, length) of the best stretch that is long enough."""
         x = self.items[i]
         a, b = max(0, -diagonal), min(len(x), len(doc) - diagonal)
-        need = min(len(x), self.least) if len(x) >= max(map(len, MASKS)) else len(x)
+        need = min(len(x), self.least)
         if b - a < need:
             return None
         same = x[a:b] == doc[a + diagonal : b + diagonal]
         score = np.concatenate(([0.0], np.cumsum(same - self.share)))
         low = np.minimum.accumulate(score)[: len(score) - need]
         gain = score[need:] - low
-        if len(x) < max(map(len, MASKS)):
+        if len(x) < WHOLE:
             gain = np.where(same.all(), gain, -1)
         if gain.max() < -1e-9:
             return None
