@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,10 +202,39 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _most_frequent(table: pa.Table) -> pa.Table:
+    """The rows of the largest counts, ties by word, as many as the vocabulary takes."""
+    order = pc.sort_indices(table, [("n", "descending"), ("w", "ascending")])
+    return table.take(order.slice(0, VOCABULARY - HASHED))
+
+
+def _most_frequent_of_part(fan: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = None
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            held = _most_frequent(more if held is None else pa.concat_tables([held, more]))
+        if held is not None:
+            part = pa.array([TaskContext.get().partitionId() % fan] * held.num_rows, pa.int32())
+            yield from held.append_column("part", part).combine_chunks().to_batches()
+
+    return run
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The most frequent words of all documents, most frequent first."""
+    """The most frequent words of all documents, most frequent first.
+
+    Counts are exact. The most frequent are chosen within each partition of the
+    counts, then among the square root of their number of partitions, then of those.
+    """
     counts = docs.select(col(text_col).cast("string").alias("t")).mapInArrow(_word_counts, "w string, n long")
-    top = counts.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY - HASHED)
+    sums = counts.groupBy("w").agg(F.sum("n").alias("n"))
+    fan = max(1, math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    schema = "w string, n long, part int"
+    near = sums.mapInArrow(_most_frequent_of_part(fan), schema).groupBy("part").applyInArrow(_most_frequent, schema)
+    top = near.orderBy(F.desc("n"), "w").limit(VOCABULARY - HASHED)
     return [r[0] for r in top.select("w").collect()]
 
 
