@@ -116,17 +116,19 @@ class WindowNetwork:
             z += p["e"][k].take(context[:, k], axis=0)
         h = np.tanh(z)
         cls, member = target // CLASS, target % CLASS
-        lc = _log_softmax(h @ p["wc"] + p["bc"])
-        h2 = np.tanh(z + p["c"].take(cls, axis=0))
-        lm = _log_softmax(h2 @ p["wm"] + p["bm"])
-        rows = np.arange(len(target))
-        return lc[rows, cls] + lm[rows, member], (h, h2, lc, lm, cls, member, rows)
+        lc, ec = _log_softmax_at(h, p["wc"], p["bc"], cls)
+        z += p["c"].take(cls, axis=0)
+        h2 = np.tanh(z, out=z)
+        lm, em = _log_softmax_at(h2, p["wm"], p["bm"], member)
+        return lc + lm, (h, h2, ec, em, cls, member)
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> float:
         """One AdaGrad step on the mean loss; returns it."""
         p, n = self.p, len(target)
-        logp, (h, h2, lc, lm, cls, member, rows) = self.forward(context, target)
-        dc, dm = np.exp(lc), np.exp(lm)
+        logp, (h, h2, dc, dm, cls, member) = self.forward(context, target)
+        rows = np.arange(n)
+        dc /= dc.sum(axis=1, keepdims=True)
+        dm /= dm.sum(axis=1, keepdims=True)
         dc[rows, cls] -= 1
         dm[rows, member] -= 1
         dz2 = (dm @ p["wm"].T) * (1 - h2 * h2)
@@ -144,10 +146,19 @@ class WindowNetwork:
         self.p[k][at] -= rate * g / np.sqrt(self.g2[k][at])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _log_softmax_at(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-probability of one entry of each row of ``h w + b``, and the rows' exponentials.
+
+    As no entry of ``h`` is over 1, the weights bound the scores; only scores
+    that could leave the range of single precision are shifted by the largest.
+    """
+    x = h @ w
+    x += b
+    if np.abs(w).sum(axis=0).max() + np.abs(b).max() > 60:
+        x -= x.max(axis=1, keepdims=True)
+    chosen = x[np.arange(len(at)), at]
+    e = np.exp(x, out=x)
+    return chosen - np.log(e @ np.ones(CLASS, e.dtype)), e
 
 
 def _row_sums(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
