@@ -38,7 +38,10 @@ def placement(text: Column, bbox: Column, ocr_w: Column, ocr_h: Column, page_w:
     dx = bbox["x"] * sx
     dy = disp_h - (bbox["y"] + bbox["height"]) * sy
     size = F.greatest(F.lit(1.0), bbox["height"] * sy * 0.85)
-    measured, room = text_width(text, size), bbox["width"] * sx
+    room = bbox["width"] * sx
+    # no word is wider than so many of the widest character; only those that might not fit are measured
+    most = F.length(text) * (max(*HELVETICA, OTHER_WIDTH) / 1000.0) * size
+    measured = F.when(most > room, text_width(text, size)).otherwise(0.0)
     size = F.when((measured > room) & (measured > 0), size * room / measured).otherwise(size)
     x = F.when(rotation == 0, dx).when(rotation == 90, page_w - dy).when(rotation == 180, page_w - dx).otherwise(dy)
     y = F.when(rotation == 0, dy).when(rotation == 90, dx).when(rotation == 180, page_h - dy).otherwise(page_h - dx)
