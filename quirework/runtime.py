@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -34,7 +33,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each application."""
+    """Give the executors' Python workers this package, once for each application, by the shared folder."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -43,9 +42,11 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent).as_posix())
-    folder = tempfile.mkdtemp(prefix="quirework-")
-    path = os.path.join(os.path.abspath(folder), "quirework.zip")
-    Path(path).write_bytes(held.getvalue())
+    path = f"{shared_dir(spark)}/quirework.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(held.getvalue()))
+    out.close()
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
 
