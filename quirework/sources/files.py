@@ -182,3 +182,12 @@ def recogniser_dictionary(text: Column) -> Column:
 def write_artifacts(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Artifacts as a table by project; the commit is the writer's, whole or not at all."""
     rows.write.mode(mode).partitionBy("project_id").parquet(path)
+
+
+def delete_paths(spark: SparkSession, root: str, paths: DataFrame) -> int:
+    """Delete the files that a rewind names (column path, below ``root``); one that is not there is no error. How many went."""
+    jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for row in paths.select("path").toLocalIterator():
+        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{row.path}")
+        gone += bool(p.getFileSystem(conf).delete(p, True))
+    return gone

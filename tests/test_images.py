@@ -165,3 +165,11 @@ def test_archive_in_memory():
     with zipfile.ZipFile(held, "w") as z:
         z.writestr("a.pdf", b"1")
     assert zipfile.ZipFile(io.BytesIO(held.getvalue())).namelist() == ["a.pdf"]
+
+
+def test_deleting_what_a_rewind_names(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.png").write_bytes(b"1")
+    paths = spark.createDataFrame([("p/a.png",), ("p/missing.png",)], "path string")
+    assert files.delete_paths(spark, str(tmp_path), paths) == 1
+    assert not (tmp_path / "p" / "a.png").exists()
