@@ -40,6 +40,7 @@ RADIUS = 4
 SEED = 42
 TILES = 64
 TILE_LEAST, TILE_MOST = 1024, 65536
+PAIRS_PER_TASK = 16
 _BLOCK = 1 << 18  # comparisons at a time: two buffers of 2 MB
 
 
@@ -164,6 +165,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     pairs = tile_pairs(tiles, radius)
     ends = [(k, t) for k, (i, j) in enumerate(pairs) for t in {i, j}]
     # at most 33 x 33 rows
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     where = F.broadcast(spark.createDataFrame(placed, "low int, high int, first int, k int"))
     packed = durable(
         counted.join(where, ["low", "high"])
@@ -173,6 +175,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return (
         spark.createDataFrame(ends, "pair int, tile int")
         .join(packed, "tile")
+        # by number, as pairs cost time rather than bytes and must not be put together by size
+        .repartition(max(tasks, -(-len(pairs) // PAIRS_PER_TASK)), "pair")
         .groupBy("pair")
         .applyInArrow(_compare(radius), "u long, v long")
     )
