@@ -41,7 +41,8 @@ SEED = 42
 TILES = 64
 TILE_LEAST, TILE_MOST = 1024, 65536
 PAIRS_PER_TASK = 16
-_BLOCK = 1 << 18  # comparisons at a time: two buffers of 2 MB
+ROWS = 256
+_BLOCK = 1 << 18  # comparisons at a time: a buffer of 2 MB
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -80,25 +81,59 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints(words, seed), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
+def _counts(x: np.ndarray) -> np.ndarray:
+    """The population counts of the four quarters of each fingerprint."""
+    return np.bitwise_count(x.view("<u2").reshape(-1, 4)).astype(np.int16)
+
+
+class _Rows:
+    """A tile's rows, sorted by the counts of their quarters, in blocks with the ranges of these counts."""
+
+    def __init__(self, x: np.ndarray):
+        counts = _counts(np.ascontiguousarray(x))
+        self.order = np.lexsort((counts[:, 3], counts[:, 1], counts[:, 2], counts[:, 0]))
+        self.x = x[self.order]
+        counts = counts[self.order]
+        self.starts = np.arange(0, len(x), ROWS)
+        self.low = np.minimum.reduceat(counts, self.starts, axis=0)
+        self.high = np.maximum.reduceat(counts, self.starts, axis=0)
+
+
 def star_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that connect what links of at most ``radius`` bits within ``a`` and ``b`` connect."""
-    nodes = a if same else np.concatenate((a, b))
+    """Stars that connect what links of at most ``radius`` bits within ``a`` and ``b`` connect.
+
+    Blocks of rows are skipped as tiles are, by the counts of the quarters.
+    """
+    left = _Rows(a)
+    right = left if same else _Rows(b)
+    nodes = left.x if same else np.concatenate((left.x, right.x))
     off = 0 if same else len(a)
     label = np.arange(len(nodes))
-    step = max(1, _BLOCK // max(1, len(b)))
-    for k in range(0, len(a), step):
-        r, c = np.nonzero(np.bitwise_count(a[k : k + step, None] ^ b[None, :]) <= radius)
-        r, c = r + k, c + off
-        r, c = r[r != c], c[r != c]
-        while len(r):
-            x, y = label[r], label[c]
-            apart = x != y
-            if not apart.any():
-                break
-            r, c, x, y = r[apart], c[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while not np.array_equal(label, up := label[label]):
-                label = up
+    for k, start in enumerate(left.starts):
+        apart = np.maximum(0, np.maximum(right.low - left.high[k], left.low[k] - right.high)).sum(axis=1)
+        near = np.flatnonzero(apart <= radius)
+        if same:
+            near = near[near >= k]
+        rows = left.x[start : start + ROWS]
+        for n in range(0, len(near), _BLOCK // (ROWS * ROWS)):
+            part = near[n : n + _BLOCK // (ROWS * ROWS)]
+            cols = (right.starts[part][:, None] + np.arange(ROWS)).ravel()
+            cols = cols[cols < len(right.x)]
+            hit = np.bitwise_count(rows[:, None] ^ right.x[cols][None, :]) <= radius
+            if not hit.any():
+                continue
+            r, c = np.nonzero(hit)
+            r, c = r + start, cols[c] + off
+            r, c = r[r != c], c[r != c]
+            while len(r):
+                x, y = label[r], label[c]
+                differ = x != y
+                if not differ.any():
+                    break
+                r, c, x, y = r[differ], c[differ], x[differ], y[differ]
+                np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+                while not np.array_equal(label, up := label[label]):
+                    label = up
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
 
