@@ -5,8 +5,10 @@ A bidirectional window network, trained here in numpy, predicts every token from
 log-probabilities of its tokens.
 
 * Vocabulary: words are counted over all documents; the most frequent have an
-  id each, in the order of their counts, all others share ``HASHED`` ids by a
-  checksum.
+  id each, in the order of their counts, all others share ``HASHED`` ids. A
+  token without its own id costs its id and its spelling (``spelling.py``), so
+  each of any number of words has its own conditional probability. As context
+  such a word counts by the id it shares.
 * Network: each window position has its own embedding table; their sum, through
   tanh, predicts the token's class (id // CLASS), and, shifted by the class's own
   vector, the token within the class. The vocabulary costs 2 x 64 outputs, not 4,096.
@@ -29,7 +31,6 @@ empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +40,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import col, ship_package
+from ..runtime import col, durable, ship_package
+from . import spelling
 from .words import trimmed
 
 CLASS = 64
@@ -74,13 +76,31 @@ class Vocabulary(dict):
             self.clear()
         w = word_of(raw)
         at = self.frequent.get(w)
-        self[raw] = at = VOCABULARY - HASHED + zlib.crc32(w.encode("utf-8", "surrogatepass")) % HASHED if at is None else at
+        self[raw] = at = VOCABULARY - HASHED + spelling.bucket_of(w, HASHED) if at is None else at
         return at
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, (text or "").split()), np.int64)
 
 
+class Spellings(dict):
+    """Raw words to log P(word | its id): 0 for the frequent ones."""
+
+    def __init__(self, words: list[str], speller: spelling.Speller):
+        self.frequent, self.speller = frozenset(words), speller
+
+    def of(self, texts: list[str | None]) -> list[float]:
+        """The sum over each text's tokens."""
+        docs = [(t or "").split() for t in texts]
+        if len(self) > _MEMO_WORDS:
+            self.clear()
+        new = {raw: word_of(raw) for d in docs for raw in d if raw not in self}
+        rare = [raw for raw, w in new.items() if w not in self.frequent]
+        self.update(dict.fromkeys(new, 0.0))
+        self.update(zip(rare, self.speller.in_bucket([new[raw] for raw in rare]), strict=True))
+        return [sum(map(self.__getitem__, d)) for d in docs]
+
+
 class WindowNetwork:
     """The network's parameters, its loss and its steps."""
 
@@ -234,21 +254,36 @@ def _most_frequent_of_part(fan: int):
     return run
 
 
+def word_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, n): how often each word of all documents occurs, exactly."""
+    counts = docs.select(col(text_col).cast("string").alias("t")).mapInArrow(_word_counts, "w string, n long")
+    return counts.groupBy("w").agg(F.sum("n").alias("n"))
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The most frequent words of all documents, most frequent first.
+    """The most frequent words of all documents, most frequent first."""
+    return most_frequent(word_sums(docs, text_col))
+
+
+def most_frequent(sums: DataFrame) -> list[str]:
+    """The most frequent of ``sums``, most frequent first.
 
-    Counts are exact. The most frequent are chosen within each partition of the
-    counts, then among the square root of their number of partitions, then of those.
+    They are chosen within each partition of the counts, then among the square
+    root of their number of partitions, then of those.
     """
-    counts = docs.select(col(text_col).cast("string").alias("t")).mapInArrow(_word_counts, "w string, n long")
-    sums = counts.groupBy("w").agg(F.sum("n").alias("n"))
-    fan = max(1, math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    fan = max(1, math.isqrt(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     schema = "w string, n long, part int"
     near = sums.mapInArrow(_most_frequent_of_part(fan), schema).groupBy("part").applyInArrow(_most_frequent, schema)
     top = near.orderBy(F.desc("n"), "w").limit(VOCABULARY - HASHED)
     return [r[0] for r in top.select("w").collect()]
 
 
+def trigram_counts(sums: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of bytes of all of ``sums`` but ``words``, and their counts."""
+    made = sums.mapInArrow(spelling.counted(words), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    return made["k"].to_numpy(), made["n"].to_numpy()
+
+
 def _masked(docs: list[np.ndarray], offset: int):
     line, at = windows(docs)
     at = at[offset::STRIDE]
@@ -327,21 +362,23 @@ def train(docs: DataFrame, words: list[str], *, text_col: str = "text", rounds:
     return flat
 
 
-def _scored(words: list[str], params):
+def _scored(words: list[str], params, speller):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Vocabulary(words)
+        spelled = Spellings(words, speller.value)
         net = WindowNetwork().load(np.frombuffer(params.value, np.float32))
         for batch in batches:
-            held, size, lengths, sums = [], 0, [], []
+            held, texts, size, lengths, sums = [], [], 0, [], []
             for t in batch.column(1):
-                held.append(ids.ids(t.as_py()))
+                texts.append(t.as_py())
+                held.append(ids.ids(texts[-1]))
                 lengths.append(len(held[-1]))
                 size += lengths[-1]
                 if size >= _CHUNK:
-                    sums += log_probabilities(net, held)
-                    held, size = [], 0
+                    sums += map(sum, zip(log_probabilities(net, held), spelled.of(texts), strict=True))
+                    held, texts, size = [], [], 0
             if held:
-                sums += log_probabilities(net, held)
+                sums += map(sum, zip(log_probabilities(net, held), spelled.of(texts), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64())], ["id", "n_tokens", "log_prob"]
             )
@@ -353,10 +390,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ro
     """(id, n_tokens, log_prob, mean_log_prob) of each row of ``docs``, by a network trained on all of them."""
     spark = docs.sparkSession
     ship_package(spark)
-    words = vocabulary(docs, text_col)
+    seen = durable(word_sums(docs, text_col))
+    words = most_frequent(seen)
+    speller = spark.sparkContext.broadcast(spelling.Speller(*trigram_counts(seen, words), words, HASHED))
     params = spark.sparkContext.broadcast(train(docs, words, text_col=text_col, rounds=rounds).astype(np.float32).tobytes())
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(_scored(words, params), f"id {kind}, n_tokens long, log_prob double")
+    made = rows.mapInArrow(_scored(words, params, speller), f"id {kind}, n_tokens long, log_prob double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return made.select(F.col("id").alias(id_col), "n_tokens", "log_prob", mean.alias("mean_log_prob"))

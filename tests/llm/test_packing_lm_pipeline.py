@@ -160,6 +160,32 @@ def test_training_beats_the_start_and_shuffled_text(spark):
     assert trained > start + 0.5
 
 
+def test_words_of_one_bucket_have_their_own_probabilities(spark):
+    import zlib
+
+    frequent = " ".join(f"w{k}" for k in range(L.VOCABULARY - L.HASHED))
+    near = [w for k in range(40_000) if zlib.crc32((w := f"zzq{k}").encode()) % L.HASHED == 7][:4]
+    assert len({L.Vocabulary([])[w] for w in near}) == 1
+    rows = [(0, frequent), (1, frequent)] + [(k, f"w1 w2 {w} w3 w4") for k, w in enumerate(near, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [round(r.log_prob, 3) for r in L.score(docs, rounds=1).orderBy("doc_id").collect()]
+    assert len(set(got[2:])) == len(near)
+
+
+def test_spelling_is_a_distribution():
+    from quirework.llm import spelling as S
+
+    rare, known = ["a", "ab", "abc", "abcd", "größe", "漢字", "zz"], ["abd", "b"]
+    s = S.Speller(*S.trigrams([S.encoded(w) for w in rare], np.arange(1, 8)), known, 8)
+    for a in (97, 98, 0, S.START):
+        assert np.allclose(s.table(a).sum(1), 1, atol=1e-5)
+    every = np.exp(s.log_share).sum() + sum(np.exp(s.spelled(w)) for w in known)
+    assert abs(every - (1 - s.table(S.START)[S.START, S.END])) < 1e-5
+    assert s.spelled("abcd") > s.spelled("dcba") and np.isfinite(s.in_bucket(["\ud800x"])[0])
+    assert all(S.bucket_of(w, 8) == S._buckets_after(w.encode()[0], 8).reshape(256, 256)[tuple((w.encode() + b"\xff\xff")[1:3])] for w in rare)
+    assert S.trigrams([], np.zeros(0, int))[0].size == 0 and np.isfinite(S.Speller(*S.trigrams([], np.zeros(0, int)), [], 8).in_bucket(["new"])[0])
+
+
 def test_averages():
     import pyarrow as pa
 
