@@ -13,8 +13,8 @@ log-probabilities of its tokens.
   tanh, predicts the token's class (id // CLASS), and, shifted by the class's own
   vector, the token within the class. The vocabulary costs 2 x 64 outputs, not 4,096.
 * Training: in each round every partition takes the same start, masks each
-  ``STRIDE``-th token of all its documents, another offset each round, and
-  descends. The parameters are then averaged over the partitions, weighted by
+  ``rounds``-th token of each of its documents, another offset each round, and
+  descends; so every token is a target once. The parameters are then averaged over the partitions, weighted by
   the masked tokens, in blocks and in two steps, so that no task gathers more
   than the square root of the number of partitions. What is shuffled grows with
   the corpus; what reaches the driver, the averaged network, does not.
@@ -49,7 +49,6 @@ VOCABULARY = CLASS * CLASS
 HASHED = 1024
 SIDE = 2
 HIDDEN = 32
-STRIDE = 8
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.1
@@ -182,7 +181,7 @@ def _log_softmax_at(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray)
 
 
 def _row_sums(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")  # ids fit, and short ones are sorted by radix
     at = at[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     return at[first], np.add.reduceat(g[order], first, axis=0)
@@ -284,13 +283,15 @@ def trigram_counts(sums: DataFrame, words: list[str]) -> tuple[np.ndarray, np.nd
     return made["k"].to_numpy(), made["n"].to_numpy()
 
 
-def _masked(docs: list[np.ndarray], offset: int):
+def _masked(docs: list[np.ndarray], offset: int, stride: int):
+    """The contexts and ids of each document's tokens at ``offset``, ``offset + stride``, ..."""
     line, at = windows(docs)
-    at = at[offset::STRIDE]
+    sizes = np.array([len(d) for d in docs])
+    at = at[(np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) % stride == offset]
     return contexts(line, at), line[at]
 
 
-def _trained(words: list[str], start, offset: int, fan: int):
+def _trained(words: list[str], start, offset: int, stride: int, fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -299,7 +300,7 @@ def _trained(words: list[str], start, offset: int, fan: int):
         held, size, seen = [], 0, 0
 
         def learn() -> int:
-            context, target = _masked(held, offset)
+            context, target = _masked(held, offset, stride)
             for k in range(0, len(target), BATCH):
                 net.step(context[k : k + BATCH], target[k : k + BATCH])
             return len(target)
@@ -307,7 +308,7 @@ def _trained(words: list[str], start, offset: int, fan: int):
         for text in _texts(batches, 0):
             held.append(ids.ids(text))
             size += len(held[-1])
-            if size >= BATCH * STRIDE * 4:
+            if size >= BATCH * 32:
                 seen += learn()
                 held, size = [], 0
         if held:
@@ -344,7 +345,7 @@ def _averaged(table: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, words: list[str], *, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """The parameters of a network trained on all ``docs``."""
+    """The parameters of a network trained on all ``docs``, with each token as the target in one of the rounds."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(col(text_col).cast("string").alias("t"))
     flat = WindowNetwork().flat()
@@ -352,7 +353,7 @@ def train(docs: DataFrame, words: list[str], *, text_col: str = "text", rounds:
     schema = "block int, part int, n double, v binary"
     for k in range(rounds):
         start = sc.broadcast(flat.astype(np.float32).tobytes())
-        made = rows.mapInArrow(_trained(words, start, (k * 3) % STRIDE, fan), schema)
+        made = rows.mapInArrow(_trained(words, start, k, rounds, fan), schema)
         made = made.groupBy("block", "part").applyInArrow(_averaged, schema)
         made = made.groupBy("block").applyInArrow(_averaged, schema)
         blocks = sorted(made.select("block", "v").collect())

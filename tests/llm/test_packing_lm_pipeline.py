@@ -160,6 +160,38 @@ def test_training_beats_the_start_and_shuffled_text(spark):
     assert trained > start + 0.5
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_token_is_a_target_once(spark, monkeypatch, rounds):
+    import pyarrow as pa
+
+    seen, masked = [], L._masked
+    monkeypatch.setattr(L, "_masked", lambda *a: seen.append(masked(*a)) or seen[-1])
+    words = [f"w{k}" for k in range(300)]
+    texts = ["w1", None, "w2 w3", "", " ".join(words[4:]), "w0"]
+
+    class Start:
+        value = L.WindowNetwork().flat().tobytes()
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr("pyspark.TaskContext", Context)
+    found = []
+    trained = L._trained
+
+    def kept(words, start, *a):
+        found.append(a)
+        return trained(words, start, *a)
+
+    monkeypatch.setattr(L, "_trained", kept)
+    L.train(spark.createDataFrame([(t,) for t in texts], "text string"), words, rounds=rounds)
+    seen.clear()
+    for a in found:
+        list(trained(words, Start, *a)(iter([pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())})])))
+    assert len(found) == rounds and sorted(np.concatenate([m[1] for m in seen]).tolist()) == list(range(300))
+
+
 def test_words_of_one_bucket_have_their_own_probabilities(spark):
     import zlib
 
