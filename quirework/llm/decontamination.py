@@ -5,7 +5,8 @@ hashed, so a substitution at an ignored position leaves the hash as it is. The
 masked hashes of the documents are joined with those of the benchmark. Around
 each hit the two texts are laid over each other and compared token by token: a
 document is contaminated by an item if some stretch of at least
-``min(tokens of the item, LEAST)`` tokens agrees in at least ``SHARE`` of them.
+``min(tokens of the item, LEAST)`` tokens agrees in at least ``SHARE`` of them,
+or if ``VERBATIM`` tokens in a row agree.
 Items of fewer than ``WHOLE`` tokens are looked for whole.
 
 The benchmark is taken in blocks of bounded bytes, each sent to the executors
@@ -40,6 +41,7 @@ SHORT_MASKS = ("1111", "110101", "1011001", "1100101")
 SHORT = 12
 WHOLE = 10  # items with fewer tokens are looked for whole
 LEAST = 20
+VERBATIM = 13
 SHARE = 0.8
 BLOCK_BYTES = 8 << 20
 _MEMO_WORDS = 1 << 20
@@ -63,8 +65,8 @@ class _Ids(dict):
 class SeedIndex:
     """The masked hashes of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[object, str]], least: int = LEAST, share: float = SHARE):
-        self.least, self.share = least, share
+    def __init__(self, items: list[tuple[object, str]], least: int = LEAST, share: float = SHARE, verbatim: int | None = None):
+        self.least, self.share, self.verbatim = least, share, verbatim
         known: dict[str, int] = {}
         self.names, self.items = [], []
         for name, text in items:
@@ -117,16 +119,18 @@ class SeedIndex:
         x = self.items[i]
         a, b = max(0, -diagonal), min(len(x), len(doc) - diagonal)
         need = min(len(x), self.least)
-        if b - a < need:
+        if b - a < min(need, self.verbatim or need):
             return None
         same = x[a:b] == doc[a + diagonal : b + diagonal]
+        if b - a < need:
+            return _verbatim(same, a, diagonal, self.verbatim)
         score = np.concatenate(([0.0], np.cumsum(same - self.share)))
         low = np.minimum.accumulate(score)[: len(score) - need]
         gain = score[need:] - low
         if len(x) < WHOLE:
             gain = np.where(same.all(), gain, -1)
         if gain.max() < -1e-9:
-            return None
+            return _verbatim(same, a, diagonal, self.verbatim)
         end = int(gain.argmax()) + need
         start = int(score[: end - need + 1].argmin())
         return int(same[start:end].sum()), a + start + diagonal, a + start, end - start
@@ -141,6 +145,19 @@ class SeedIndex:
         return [(self.names[i], d, s, n, m) for i, (m, d, s, n) in sorted(best.items())]
 
 
+def _verbatim(same: np.ndarray, a: int, diagonal: int, least: int | None) -> tuple[int, int, int, int] | None:
+    """The longest run of equal tokens, if it is long enough, as ``overlap`` gives it."""
+    if least is None:
+        return None
+    ends = np.flatnonzero(~np.concatenate(([False], same, [False])))
+    runs = np.diff(ends) - 1
+    k = int(runs.argmax())
+    if runs[k] < least:
+        return None
+    start = a + int(ends[k])
+    return int(runs[k]), start + diagonal, start, int(runs[k])
+
+
 def hashed(x: np.ndarray, at: list[int], where: np.ndarray) -> np.ndarray:
     h = np.zeros(len(where), np.uint64)
     for a in at:
@@ -169,7 +186,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
 
 def _matching(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex(shared.value)
+        index = SeedIndex(shared.value, verbatim=VERBATIM)
         for batch in batches:
             ids, rows = [], []
             for k, text in enumerate(batch.column(1)):
@@ -187,7 +204,7 @@ def _matching(shared):
 
 def _clean(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex(shared.value)
+        index = SeedIndex(shared.value, verbatim=VERBATIM)
         for batch in batches:
             yield batch.filter(pa.array([not index.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
 

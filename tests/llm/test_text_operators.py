@@ -175,6 +175,23 @@ def test_exact_passages_are_all_found(spark):
     assert kept == {d.doc_id for d in docs.select("doc_id").collect()} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("n", [13, 16, 19])
+def test_verbatim_runs_shorter_than_a_stretch_match(spark, n):
+    item = [f"i{k}" for k in range(40)]
+    index = C.SeedIndex([("x", " ".join(item))], verbatim=C.VERBATIM)
+    around = [f"d{k}" for k in range(30)]
+    for at in (0, 11, 40 - n):
+        run = item[at : at + n]
+        for doc in (around + run + around, run + around, run):
+            assert [(m[0], m[4]) for m in index.matches(" ".join(doc))] == [("x", n)]
+        assert index.matches(" ".join(run)) == [("x", 0, at, n, n)]
+    assert index.matches(" ".join(around + item[5:17] + around)) == []
+    docs = spark.createDataFrame([(1, " ".join(around + item[5 : 5 + n])), (2, " ".join(around))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [r.doc_id for r in C.drop_contaminated(docs, bench).collect()] == [2]
+    assert [(r.doc_id, r.item_id) for r in C.contaminated(docs, bench).collect()] == [(1, 7)]
+
+
 def test_decontamination_odd(spark, odd, odd_rows, none):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "... !"), (4, "a b c d e f"), (4, "a b c d e f"), (5, "Größe ñandú 漢字")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in C.contaminated(odd, bench).collect())
