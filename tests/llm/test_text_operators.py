@@ -1,10 +1,11 @@
 """Secrets, token counts, decontamination and toxicity."""
 
-import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quirework.llm import decontamination as C
@@ -127,10 +128,6 @@ def brute_match(doc, item, least=C.LEAST, share=C.SHARE):
     for d in range(-len(item) + need, len(doc) - need + 1):
         a, b = max(0, -d), min(len(item), len(doc) - d)
         same = [item[k] == doc[k + d] for k in range(a, b)]
-        if len(item) < C.WHOLE:
-            if b - a == len(item) and all(same):
-                return True
-            continue
         for s in range(len(same) - need + 1):
             for e in range(s + need, len(same) + 1):
                 if sum(same[s:e]) >= share * (e - s) - 1e-9:
@@ -150,7 +147,7 @@ def test_seeds_find_what_brute_force_finds(spark):
         cut = item[: max(1, len(item) - (k % 4) * 6)]
         at = rng.randrange(60)
         docs.append(doc[:at] + cut + doc[at:])
-    index = C.SeedIndex([(k, " ".join(x)) for k, x in enumerate(items)])
+    index = C.SeedIndex([(k, " ".join(x)) for k, x in enumerate(items)], verbatim=None)
     missed = extra = found = 0
     for doc in docs:
         got = {m[0] for m in index.matches("... " + " ".join(doc) + " !")}
@@ -161,13 +158,63 @@ def test_seeds_find_what_brute_force_finds(spark):
     assert extra == 0 and missed == 0 and found > 90
 
 
+@pytest.mark.parametrize("n", range(1, 21))
+def test_no_pattern_of_substitutions_is_missed(n):
+    """All patterns of as many substitutions as an item of n tokens may have, and none with one more."""
+    item = [f"i{k}" for k in range(n)]
+    index = C.SeedIndex([("x", " ".join(item))])
+    most = 0 if n < 5 else max(1, n // 5)
+    for k in range(most + 1):
+        texts = []
+        for gone in itertools.combinations(range(n), k):
+            doc = [f"d{j}" if j in gone else t for j, t in enumerate(item)]
+            texts.append(" ".join(["before", *doc, "after"]))
+        assert [r[0] for r in index.find(pa.array(texts))] == list(range(len(texts)))
+    worse = " ".join("other" if j in range(0, 2 * (most + 1), 2) else t for j, t in enumerate(item))
+    assert index.find(pa.array([worse])) == []
+
+
+def test_longer_stretches_with_random_substitutions():
+    rng = random.Random(9)
+    item = [f"i{k}" for k in range(40)]
+    index = C.SeedIndex([("x", " ".join(item))])
+    texts = []
+    for _ in range(3000):
+        n = rng.randrange(20, 41)
+        at = rng.randrange(41 - n)
+        part = item[at : at + n]
+        for j in rng.sample(range(n), n // 5):
+            part[j] = "other"
+        texts.append(" ".join(["before", *part, "after"]))
+    assert {r[0] for r in index.find(pa.array(texts))} == set(range(3000))
+
+
+def test_a_seed_that_many_items_share():
+    """Each text meets every item by the first tokens; only its own matches."""
+    items = [(f"q{k}", "what is the name of " + " ".join(f"t{k}x{j}" for j in range(6))) for k in range(3000)]
+    index = C.SeedIndex(items)
+    texts = [items[k][1] for k in range(0, 3000, 500)] + ["what is the name of something else here and now ok"]
+    assert [(t, index.names[i]) for t, i, *_ in index.find(pa.array(texts))] == [(j, f"q{k}") for j, k in enumerate(range(0, 3000, 500))]
+
+
+def test_ids_of_any_type_and_binary_texts(spark):
+    docs = spark.createDataFrame([("a", b"one two three four five six seven"), (None, b"nothing here")], "doc_id string, text binary")
+    bench = spark.createDataFrame([("x", "one two three FOUR five six")], "item_id string, text string")
+    assert [(r.doc_id, r.item_id, r.matched) for r in C.contaminated(docs, bench).collect()] == [("a", "x", 6)]
+    kept = C.drop_contaminated(docs, bench)
+    assert kept.schema == docs.schema and [r.doc_id for r in kept.collect()] == [None]
+
+
 def test_exact_passages_are_all_found(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in C.contaminated(docs, bench).collect()}
     items = [(r.item_id, r.text) for r in bench.collect()]
     want = {(d.doc_id, i) for d in docs.select("doc_id", "text").collect() for i, t in items if t in d.text}
-    assert want <= got and len(got) <= len(want) + 5
+    # what else is found agrees token by token in four fifths of a stretch
+    text_of, item_of = {r.doc_id: r.text for r in docs.collect()}, dict(items)
+    split = lambda t: [x for x in map(C.trimmed, t.split()) if x]
+    assert want <= got and all(brute_match(split(text_of[d]), split(item_of[i])) for d, i in got - want)
     # in blocks of a few items the result is the same
     blocks = {(r.doc_id, r.item_id) for r in C.contaminated(docs, bench, block_bytes=2000).collect()}
     assert blocks == got
@@ -178,7 +225,7 @@ def test_exact_passages_are_all_found(spark):
 @pytest.mark.parametrize("n", [13, 16, 19])
 def test_verbatim_runs_shorter_than_a_stretch_match(spark, n):
     item = [f"i{k}" for k in range(40)]
-    index = C.SeedIndex([("x", " ".join(item))], verbatim=C.VERBATIM)
+    index = C.SeedIndex([("x", " ".join(item))])
     around = [f"d{k}" for k in range(30)]
     for at in (0, 11, 40 - n):
         run = item[at : at + n]
@@ -255,4 +302,4 @@ def test_toxicity_odd(spark, odd, odd_rows, none):
 
 def test_features():
     assert X.features("Idiots!") == ("idiots", "idio*", "idiot*") and X.features("--") == () and X.features("abcd") == ("abcd",)
-    assert hashlib.md5(b"").hexdigest()
+    assert X.features("") == () and X.features("Größe") == ("größe", "größ*")
