@@ -2,14 +2,17 @@
 
 1. Every partition keeps a Misra-Gries summary of its digests; the summaries
    are summed and reduced to ``counters`` candidates. A digest with more than
-   ``n / (counters + 1)`` rows cannot be missing.
+   ``n / (counters + 1)`` rows cannot be missing. The counters grow with n, one
+   for each ``LIGHT_ROWS`` rows between COUNTERS and MOST_COUNTERS, so up to 2^36
+   rows no light digest has more than LIGHT_ROWS.
 2. The candidates are counted exactly; those at or over the bound are the
    verified winners. At most ``counters`` rows, they are broadcast, and their
    rows are decided where they lie, without a shuffle.
 3. All other digests are shuffled; none of them has more than
    ``n / (counters + 1)`` rows.
 
-Only (id, SHA-256) pairs move, never texts.
+To mark duplicates only (id, SHA-256) pairs move, never texts; to drop them the
+rows of light digests move once, after the copies within each partition are gone.
 
 Defined results: a null text equals the empty one. A null id ranks below all
 others. Of rows that agree in text and id exactly one stays. An empty table
@@ -27,8 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import col, durable, fresh, ship_package
+from .copies import dealt
 
-COUNTERS = 256
+COUNTERS, MOST_COUNTERS = 256, 65_536
+LIGHT_ROWS = 1 << 20
 
 
 def reduce_summary(counts: Counter, counters: int) -> Counter:
@@ -58,12 +63,17 @@ def _digest(text_col: str):
     return F.unhex(F.sha2(F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
 
 
-def verified_winners(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
+def counters_for(n: int) -> int:
+    return min(MOST_COUNTERS, max(COUNTERS, n // LIGHT_ROWS))
+
+
+def verified_winners(digests: DataFrame, counters: int | None = None) -> DataFrame:
     """(digest, keep_id, group_size, n_top) of each heavy digest; at most ``counters`` rows.
 
     ``digests`` has the columns id and digest. n_top: rows of the group that have keep_id.
     """
     n = digests.count()
+    counters = counters or counters_for(n)
     bound = max(2, -(-n // (counters + 1)))
     merged = digests.select("digest").mapInArrow(_summaries(counters), "digest binary, n long")
     # the sum of mergeable summaries still holds every digest over the bound, and its largest counts are enough
@@ -95,7 +105,7 @@ def _light_marks(light: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     ship_package(docs.sparkSession)
@@ -110,9 +120,8 @@ def mark_duplicates(
         heavy.where(on_top & (F.col("n_top") > 1))
         .groupBy(*cols)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(*cols, F.explode(F.sequence(F.lit(1), F.col("n").cast("long"))).alias("i"))
-        .select(*cols, (F.col("i") == 1).alias("kept"))
     )
+    tied = dealt(tied, "n", "copy").select(*cols, (F.col("copy") == 1).alias("kept"))
     light = _light_marks(digests.join(winners, "digest", "left_anti"))
     return (
         plain.unionByName(tied)
@@ -128,7 +137,7 @@ def mark_duplicates(
 
 
 def drop_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that ``mark_duplicates`` keeps.
 
