@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import col, durable, ship_package
+from .copies import dealt
 
 CAPACITY = 2048
 GROUP_ROWS = 4096
@@ -115,7 +116,7 @@ def pack(
 ) -> DataFrame:
     """(id, piece, start, length, bin, offset), in words, of each piece of each row of ``docs``.
 
-    ``cluster``: what duplicates share; by default a hash of the text.
+    ``cluster``: what duplicates share; by default a hash of the text, null for a null text.
     """
     ship_package(docs.sparkSession)
     text = col(text_col).cast("string")
@@ -123,7 +124,7 @@ def pack(
         docs.select(
             col(id_col).cast("long").alias("id"),
             col(source_col).cast("string").alias("source"),
-            (F.xxhash64(text) if cluster is None else cluster).cast("long").alias("cluster"),
+            (F.when(text.isNotNull(), F.xxhash64(text)) if cluster is None else cluster).cast("long").alias("cluster"),
             words_of(text).alias("size"),
         )
         .groupBy("id", "source", "cluster", "size")
@@ -133,7 +134,7 @@ def pack(
     groups = max(1, -(-total // group_rows))
     last = F.greatest(F.lit(0), F.floor((F.col("size") - 1) / capacity)).cast("long")
     items = (
-        rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        dealt(rows, "n", "copy")
         .withColumn("part", F.pmod(F.xxhash64("id", "cluster", "size", "copy"), F.lit(groups)))
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .withColumn("length", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("long"))
