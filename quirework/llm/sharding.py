@@ -4,11 +4,13 @@ Records are ordered by a key (``group``, ``id``), the group being a hash of the
 text, so equal texts lie together.
 
 1. A size-weighted sample of the groups is drawn: a record is in it with a
-   probability in proportion to its size, decided by a hash of its key. Its
-   expected number of rows is a parameter, so the driver may hold it.
+   probability in proportion to its load, its share of all bytes and of all
+   rows, decided by a hash of its key. Its expected number of rows is a
+   parameter, so the driver may hold it.
 2. Quantiles of the sample are the splitters; the ranges between them take
-   records by a binary search inside the scan. Sizes and counts of the ranges
-   are summed exactly.
+   records by a binary search inside the scan. Loads, sizes and counts of the
+   ranges are summed exactly. There are a range for each RANGE_ROWS rows, within
+   bounds, so neither many short texts nor few long ones make a range large.
 3. Ranges over the bound, as one group can make them, are subdivided: their
    records are sampled again, now by (group, id).
 4. The running sums over the ranges say in which range each shard must end;
@@ -17,7 +19,8 @@ text, so equal texts lie together.
    two records. So equal texts share a shard unless their group is overfull.
 
 Records are narrow (id, group, size, checksum), written once; texts never move.
-Slots are numbered within the ranges, each of which has a bounded size.
+Slots are numbered within the ranges, each of which has a bounded share of the
+bytes and of the rows.
 
 Rows that agree in all four columns are counted first, so that a row that
 repeats without end is no hot key; the copies are then blocks of bounded size,
@@ -30,7 +33,9 @@ shards. An empty table gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +44,8 @@ from ..runtime import col, durable
 
 SHARDS = 16
 RANGES_PER_SHARD = 64
+RANGE_ROWS = 1 << 18
+MOST_RANGES = 1 << 14
 SAMPLES_PER_RANGE = 8
 _LEAST = -(2**63)
 
@@ -91,17 +98,25 @@ def _key() -> Column:
     return F.struct(F.col("group").alias("g"), F.coalesce("id", F.lit(_LEAST)).alias("i"), F.col("block").alias("k"))
 
 
-def blocks_of(records: DataFrame, ranges: int) -> tuple[DataFrame, int]:
-    """``records`` with their copies in blocks of at most the size of a range; the bytes of all."""
-    total = records.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
-    each = F.greatest(F.lit(1), F.floor(F.lit(total / ranges) / F.col("size"))).cast("long")
+def blocks_of(records: DataFrame, ranges: int) -> tuple[DataFrame, int, int]:
+    """``records`` with their copies in blocks of at most the bytes and rows of a range, and their loads; the bytes of all.
+
+    A record's load is the mean of its shares of all bytes and of all rows; the loads of all add up to 1.
+    """
+    total, rows = records.agg(F.sum(F.col("size") * F.col("n")), F.sum("n")).first()
+    total, rows = total or 0, rows or 0
+    ranges = max(ranges, min(MOST_RANGES, rows // RANGE_ROWS))
+    most = F.least(F.lit(total / ranges) / F.col("size"), F.lit(rows / ranges))
+    each = F.greatest(F.lit(1), F.floor(most)).cast("long")
     cut = records.withColumn("each", each).withColumn("block", F.explode(F.expr("sequence(0L, (n - 1) div each)")))
-    return cut.withColumn("n", F.least("each", F.col("n") - F.col("block") * F.col("each"))).drop("each"), total
+    cut = cut.withColumn("n", F.least("each", F.col("n") - F.col("block") * F.col("each"))).drop("each")
+    load = F.col("n") * (F.col("size") / F.lit(2.0 * (total or 1)) + F.lit(0.5 / (rows or 1)))
+    return cut.withColumn("load", load), total, ranges
 
 
 def _sampled(rows: DataFrame, rate: float, seed: int) -> DataFrame:
-    """Rows in proportion to their size; ``rate``: expected samples a byte."""
-    weight = F.col("size") * F.col("n") * F.lit(rate)
+    """Rows in proportion to their load; ``rate``: expected samples of all."""
+    weight = F.col("load") * F.lit(float(rate))
     draw = F.pmod(F.xxhash64("group", "id", "block", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return rows.where(draw < weight)
 
@@ -111,29 +126,28 @@ def _quantiles(keys: list, pieces: int) -> list:
     return sorted({keys[k * len(keys) // pieces] for k in range(1, pieces)}) if keys else []
 
 
-def plan_ranges(records: DataFrame, total: int, ranges: int, seed: int = 7) -> list[tuple]:
-    """Splitters (group, id, block) that cut ``records`` into about ``ranges`` of like size."""
-    if not total:
-        return []
+def plan_ranges(records: DataFrame, ranges: int, seed: int = 7) -> list[tuple]:
+    """Splitters (group, id, block) that cut ``records`` into about ``ranges`` of like load."""
     want = ranges * SAMPLES_PER_RANGE
-    drawn = [r[0] for r in _sampled(records, want / total, seed).select("group").collect()]
+    drawn = [r[0] for r in _sampled(records, want, seed).select("group").collect()]
     firsts = _quantiles(drawn, ranges)
     # a group drawn again and again gets a range of its own
-    often = [g for g in firsts if drawn.count(g) >= SAMPLES_PER_RANGE]
+    times = Counter(drawn)
+    often = [g for g in firsts if times[g] >= SAMPLES_PER_RANGE]
     firsts = sorted({*firsts, *(g + 1 for g in often if g < 2**63 - 1)})
     at = range_of(F.col("group"), firsts, _literal(firsts))
-    sums = {r[0]: r[1] for r in records.groupBy(at.alias("r")).agg(F.sum(F.col("size") * F.col("n"))).collect()}
-    bound = 2 * total / ranges
+    sums = {r[0]: r[1] for r in records.groupBy(at.alias("r")).agg(F.sum("load")).collect()}
+    bound = 2 / ranges + 1e-9  # sums differ in their last digits with the order of the rows
     over = sorted(r for r, b in sums.items() if b > bound)
     cuts = {(g, _LEAST, _LEAST) for g in firsts}
     if over:
         inside = records.withColumn("r", at).where(F.col("r").isin(over))
-        finer = _sampled(inside, 2 * want / total, seed + 1)
+        finer = _sampled(inside, 2 * want, seed + 1)
         held: dict[int, list] = {}
         for r, key in finer.select("r", _key()).collect():
             held.setdefault(r, []).append(tuple(key))
         for r, keys in held.items():
-            cuts.update(_quantiles(keys, -(-int(2 * sums[r] * ranges) // total)))
+            cuts.update(_quantiles(keys, math.ceil(2 * sums[r] * ranges - 1e-6)))
     return sorted(cuts)
 
 
@@ -147,8 +161,8 @@ def assign_shards(
 ) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of each row of ``docs``."""
     records = durable(records_of(docs, id_col, text_col))
-    records, total = blocks_of(records, shards * ranges_per_shard)
-    splitters = plan_ranges(records, total, shards * ranges_per_shard)
+    records, total, ranges = blocks_of(records, shards * ranges_per_shard)
+    splitters = plan_ranges(records, ranges) if total else []
     ranged = records.withColumn("r", range_of(_key(), splitters, _literal(splitters)))
     stats = sorted(ranged.groupBy("r").agg(F.sum(F.col("size") * F.col("n")), F.sum("n")).collect())
     # the ranges in which the shards end
