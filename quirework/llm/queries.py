@@ -82,7 +82,8 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
         url_filter.host_of(url).alias("host"),
         F.expr("try_cast(nullif(regexp_extract(url, '^.*?://[^/?#]*/[a-z]+/([0-9]+)', 1), '') as bigint)").alias("doc_id"),
     )
-    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
+    # null where the labels do not tell
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")
     return refs.join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("host", "bad")
 
 
@@ -114,8 +115,8 @@ WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0
                   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
            FROM (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages)),
 v AS (SELECT *, {suffix} AS suffix, {domain} AS domain FROM u),
-o AS (SELECT v.host, v.suffix, v.domain, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad
-      FROM v JOIN labels l ON l.doc_id = TRY_CAST(nullif(regexp_extract(v.path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT)),
+o AS (SELECT v.host, v.suffix, v.domain, CAST(toxic = 1 OR quality = 0 AS INT) AS bad
+      FROM v JOIN labels l ON l.doc_id = TRY_CAST(nullif(regexp_extract(v.path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT) WHERE (toxic = 1 OR quality = 0) IS NOT NULL),
 h AS (SELECT host, suffix, domain, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad FROM o GROUP BY ALL),
 g AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS mean, coalesce(sum(n), 0) + 2.0 AS weight FROM h),
 suffix_s AS (SELECT suffix AS k, sum(n) AS n, sum(bad) AS bad, (SELECT mean FROM g) AS mu FROM h GROUP BY suffix),{level("suffix", "suffix_s")},
