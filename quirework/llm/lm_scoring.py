@@ -9,15 +9,20 @@ log-probabilities of its tokens.
   token without its own id costs its id and its spelling (``spelling.py``), so
   each of any number of words has its own conditional probability. As context
   such a word counts by the id it shares.
+* Ids: texts are split once, into 16-bit ids that are written and that all later
+  steps read; with them what the spelling of each document's rare words costs.
 * Network: each window position has its own embedding table; their sum, through
-  tanh, predicts the token's class (id // CLASS), and, shifted by the class's own
-  vector, the token within the class. The vocabulary costs 2 x 64 outputs, not 4,096.
+  softsign, predicts the token's class (id // CLASS), and, shifted by the class's
+  own vector, the token within the class. The vocabulary costs 2 x 64 outputs, not 4,096.
+* Start: the exact counts of the ids over all documents, so what is learned is how
+  context moves a token's probability away from its share of the corpus.
 * Training: in each round every partition takes the same start, masks each
   ``rounds``-th token of each of its documents, another offset each round, and
-  descends; so every token is a target once. The parameters are then averaged over the partitions, weighted by
-  the masked tokens, in blocks and in two steps, so that no task gathers more
-  than the square root of the number of partitions. What is shuffled grows with
-  the corpus; what reaches the driver, the averaged network, does not.
+  descends; so every token is a target once. The parameters are then averaged
+  over the partitions, weighted by the masked tokens, in blocks and in two steps,
+  so that no task gathers more than the square root of the number of partitions.
+  What is shuffled grows with the corpus; what reaches the driver, the averaged
+  network, does not.
 * Scoring: every token of every document, whole, in windows that do not cross
   documents.
 
@@ -42,7 +47,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import col, durable, ship_package
 from . import spelling
-from .words import trimmed
+from .words import coded, runs, text_runs, trimmed
 
 CLASS = 64
 VOCABULARY = CLASS * CLASS
@@ -51,12 +56,15 @@ SIDE = 2
 HIDDEN = 32
 ROUNDS = 2
 BATCH = 4096
-RATE = 0.1
+RATE = 0.2
+_FIRST = 1e-5  # AdaGrad's sums of squares at the start
 BLOCK = 4096
 _FLUSH = 500_000
-_MEMO_WORDS = 1 << 20
-_CHUNK = 1 << 14
+_TEXT_BYTES = 8 << 20  # of text that are split at a time
+_TOKENS = 1 << 20  # that are laid out at a time
+_MEMO_BYTES = 32 << 20
 PAD = VOCABULARY  # the id beyond either end of a document
+_ROWS = VOCABULARY + 1
 
 
 def word_of(raw: str) -> str:
@@ -64,40 +72,39 @@ def word_of(raw: str) -> str:
     return trimmed(raw) or raw
 
 
-class Vocabulary(dict):
-    """Raw words to ids; ``words``: the frequent ones, most frequent first."""
-
-    def __init__(self, words: list[str]):
-        self.frequent = {w: i for i, w in enumerate(words)}
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) > _MEMO_WORDS:
-            self.clear()
-        w = word_of(raw)
-        at = self.frequent.get(w)
-        self[raw] = at = VOCABULARY - HASHED + spelling.bucket_of(w, HASHED) if at is None else at
-        return at
+class Vocabulary:
+    """Raw words to ids, and to what their spelling costs; ``words``: the frequent ones, most frequent first."""
+
+    def __init__(self, words: list[str], speller: spelling.Speller | None = None):
+        self.frequent, self.speller = {w: i for i, w in enumerate(words)}, speller
+        self.memo: dict[str, tuple[int, float]] = {}
+        self.held = 0
+
+    def look_up(self, raws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``raws``, and log P(word | its id): 0 for the frequent ones."""
+        if self.held > _MEMO_BYTES:
+            self.memo.clear()
+            self.held = 0
+        memo = self.memo
+        new = [raw for raw in raws if raw not in memo]
+        rare, names = [], []
+        for raw in new:
+            w = word_of(raw)
+            at = self.frequent.get(w)
+            if at is None:
+                rare.append(raw)
+                names.append(w)
+            else:
+                memo[raw] = (at, 0.0)
+            self.held += len(raw) + 150
+        cost = self.speller.in_bucket(names) if self.speller else [0.0] * len(rare)
+        for raw, w, c in zip(rare, names, cost, strict=True):
+            memo[raw] = (VOCABULARY - HASHED + spelling.bucket_of(w, HASHED), c)
+        found = [memo[raw] for raw in raws]
+        return np.array([f[0] for f in found], np.int16), np.array([f[1] for f in found], np.float64)
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, (text or "").split()), np.int64)
-
-
-class Spellings(dict):
-    """Raw words to log P(word | its id): 0 for the frequent ones."""
-
-    def __init__(self, words: list[str], speller: spelling.Speller):
-        self.frequent, self.speller = frozenset(words), speller
-
-    def of(self, texts: list[str | None]) -> list[float]:
-        """The sum over each text's tokens."""
-        docs = [(t or "").split() for t in texts]
-        if len(self) > _MEMO_WORDS:
-            self.clear()
-        new = {raw: word_of(raw) for d in docs for raw in d if raw not in self}
-        rare = [raw for raw, w in new.items() if w not in self.frequent]
-        self.update(dict.fromkeys(new, 0.0))
-        self.update(zip(rare, self.speller.in_bucket([new[raw] for raw in rare]), strict=True))
-        return [sum(map(self.__getitem__, d)) for d in docs]
+        return self.look_up((text or "").split())[0]
 
 
 class WindowNetwork:
@@ -106,16 +113,23 @@ class WindowNetwork:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         shape = {
-            "e": (2 * SIDE, VOCABULARY + 1, HIDDEN),
+            "e": (2 * SIDE * _ROWS, HIDDEN),  # a table for each position of the window, one below the other
             "b": (HIDDEN,),
             "wc": (HIDDEN, CLASS),
             "bc": (CLASS,),
             "c": (CLASS, HIDDEN),
             "wm": (HIDDEN, CLASS),
-            "bm": (CLASS,),
         }
+        self.prior = np.zeros((CLASS, CLASS), np.float32)
         self.p = {k: (rng.standard_normal(s) * 0.1 if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
-        self.g2 = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
+        self.g2 = {k: np.full(v.shape, _FIRST, np.float32) for k, v in self.p.items()}
+
+    def start(self, counts: np.ndarray) -> WindowNetwork:
+        """Lets the network begin as the distribution of ``counts``, by id, from which context moves it."""
+        share = (counts.astype(np.float64) + 0.5).reshape(CLASS, CLASS)
+        self.prior = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.p["bc"] = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
+        return self
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -130,34 +144,35 @@ class WindowNetwork:
     def forward(self, context: np.ndarray, target: np.ndarray):
         """log-probabilities of ``target`` (n) given ``context`` (n, 2 SIDE), and what a step needs."""
         p = self.p
-        z = p["b"] + p["e"][0].take(context[:, 0], axis=0)
+        rows = context + np.arange(2 * SIDE) * _ROWS
+        z = p["b"] + p["e"].take(rows[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            z += p["e"][k].take(context[:, k], axis=0)
-        h = np.tanh(z)
-        cls, member = target // CLASS, target % CLASS
-        lc, ec = _log_softmax_at(h, p["wc"], p["bc"], cls)
+            z += p["e"].take(rows[:, k], axis=0)
+        h = _softsign(z)
+        cls, member = np.divmod(target, CLASS)
+        lc, ec = _log_softmax_at(h @ p["wc"] + p["bc"], cls)
         z += p["c"].take(cls, axis=0)
-        h2 = np.tanh(z, out=z)
-        lm, em = _log_softmax_at(h2, p["wm"], p["bm"], member)
-        return lc + lm, (h, h2, ec, em, cls, member)
+        h2 = _softsign(z)
+        lm, em = _log_softmax_at(h2 @ p["wm"] + self.prior.take(cls, axis=0), member)
+        return lc + lm, (rows, h, h2, ec, em, cls, member)
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> float:
         """One AdaGrad step on the mean loss; returns it."""
         p, n = self.p, len(target)
-        logp, (h, h2, dc, dm, cls, member) = self.forward(context, target)
-        rows = np.arange(n)
+        logp, (rows, h, h2, dc, dm, cls, member) = self.forward(context, target)
+        each = np.arange(n)
         dc /= dc.sum(axis=1, keepdims=True)
         dm /= dm.sum(axis=1, keepdims=True)
-        dc[rows, cls] -= 1
-        dm[rows, member] -= 1
-        dz2 = (dm @ p["wm"].T) * (1 - h2 * h2)
-        dz = (dc @ p["wc"].T) * (1 - h * h) + dz2
-        for k, g in (("wc", h.T @ dc), ("bc", dc.sum(0)), ("wm", h2.T @ dm), ("bm", dm.sum(0)), ("b", dz.sum(0))):
+        dc[each, cls] -= 1
+        dm[each, member] -= 1
+        dz2 = (dm @ p["wm"].T) * _softsign_slope(h2)
+        dz = (dc @ p["wc"].T) * _softsign_slope(h) + dz2
+        for k, g in (("wc", h.T @ dc), ("bc", dc.sum(0)), ("wm", h2.T @ dm), ("b", dz.sum(0))):
             self._move(k, slice(None), g / n, rate)
-        self._move("c", *_row_sums(cls, dz2 / n), rate)
-        for k in range(2 * SIDE):
-            at, g = _row_sums(context[:, k], dz / n)
-            self._move("e", (k, at), g, rate)
+        dz2 /= n
+        dz /= n
+        self._move("c", *_row_sums(cls, dz2, 1), rate)
+        self._move("e", *_row_sums(rows.ravel(), dz, 2 * SIDE), rate)
         return float(-logp.mean())
 
     def _move(self, k: str, at, g: np.ndarray, rate: float) -> None:
@@ -165,54 +180,59 @@ class WindowNetwork:
         self.p[k][at] -= rate * g / np.sqrt(self.g2[k][at])
 
 
-def _log_softmax_at(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log-probability of one entry of each row of ``h w + b``, and the rows' exponentials.
+def _softsign(z: np.ndarray) -> np.ndarray:
+    return z / (1 + np.abs(z))
 
-    As no entry of ``h`` is over 1, the weights bound the scores; only scores
-    that could leave the range of single precision are shifted by the largest.
-    """
-    x = h @ w
-    x += b
-    if np.abs(w).sum(axis=0).max() + np.abs(b).max() > 60:
+
+def _softsign_slope(h: np.ndarray) -> np.ndarray:
+    return (1 - np.abs(h)) ** 2
+
+
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-probability of one entry of each row of scores, and the rows' exponentials, in place of ``x``."""
+    if np.abs(x).max() > 60:  # beyond this, sums could leave the range of single precision
         x -= x.max(axis=1, keepdims=True)
     chosen = x[np.arange(len(at)), at]
     e = np.exp(x, out=x)
     return chosen - np.log(e @ np.ones(CLASS, e.dtype)), e
 
 
-def _row_sums(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(at.astype(np.int16), kind="stable")  # ids fit, and short ones are sorted by radix
+def _row_sums(at: np.ndarray, g: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries of ``at`` and, for each, the sum of its rows of ``g``; each row stands for ``each`` entries."""
+    order = np.argsort(at.astype(np.int16), kind="stable")  # rows fit, and short numbers are sorted by radix
     at = at[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], np.add.reduceat(g[order], first, axis=0)
+    return at[first], np.add.reduceat(g[order // each], first, axis=0)
 
 
-def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The documents' ids in one row, ``SIDE`` PADs around each, and the positions of their tokens."""
-    gap = np.full(SIDE, PAD)
-    line = np.concatenate([x for d in docs for x in (gap, d)] + [gap])
-    return line, np.flatnonzero(line != PAD)
+    line = np.full(len(ids) + SIDE * (len(lengths) + 1), PAD, np.int16)
+    at = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(len(lengths)), lengths))
+    line[at] = ids
+    return line, at
 
 
 def contexts(line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([line[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
+    return line[at[:, None] + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])]
 
 
-def log_probabilities(net: WindowNetwork, docs: list[np.ndarray]) -> list[float]:
-    """The pseudo-log-likelihood of each document."""
-    line, at = windows(docs)
-    if not len(at):
-        return [0.0] * len(docs)
-    each = np.concatenate([net.forward(contexts(line, a := at[k : k + _CHUNK]), line[a])[0] for k in range(0, len(at), _CHUNK)])
-    ends = np.cumsum([len(d) for d in docs])
-    sums = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
-    return [float(sums[e] - sums[e - len(d)]) for e, d in zip(ends, docs, strict=True)]
+def log_probabilities(net: WindowNetwork, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pseudo-log-likelihood of each document; ``ids``: those of all documents, one after the other."""
+    line, at = windows(ids, lengths)
+    sums = np.zeros(len(at) + 1)
+    for k in range(0, len(at), BATCH):
+        a = at[k : k + BATCH]
+        sums[k + 1 : k + 1 + len(a)] = net.forward(contexts(line, a), line[a])[0]
+    np.cumsum(sums, out=sums)
+    ends = np.cumsum(lengths)
+    return sums[ends] - sums[ends - lengths]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[str | None]:
-    for batch in batches:
-        for t in batch.column(at):
-            yield t.as_py()
+def masked(ids: np.ndarray, lengths: np.ndarray, offset: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row of ids, and the positions of each document's tokens ``offset``, ``offset + stride``, ..."""
+    line, at = windows(ids, lengths)
+    return line, at[(np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) % stride == offset]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +245,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return pa.RecordBatch.from_pydict({"w": pa.array(list(made), pa.string()), "n": pa.array(list(made.values()), pa.int64())})
 
-    for text in _texts(batches, 0):
-        held.update((text or "").split())
-        if len(held) > _FLUSH:
-            yield out()
+    for batch in batches:
+        for texts in text_runs(batch.column(0), _TEXT_BYTES):
+            raws, codes, _ = coded(texts)
+            for raw, n in zip(raws, np.bincount(codes, minlength=len(raws)).tolist(), strict=True):
+                held[raw] += n
+            if len(held) > _FLUSH:
+                yield out()
     yield out()
 
 
@@ -283,36 +306,95 @@ def trigram_counts(sums: DataFrame, words: list[str]) -> tuple[np.ndarray, np.nd
     return made["k"].to_numpy(), made["n"].to_numpy()
 
 
-def _masked(docs: list[np.ndarray], offset: int, stride: int):
-    """The contexts and ids of each document's tokens at ``offset``, ``offset + stride``, ..."""
-    line, at = windows(docs)
-    sizes = np.array([len(d) for d in docs])
-    at = at[(np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) % stride == offset]
-    return contexts(line, at), line[at]
+def packed_ids(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary of 16-bit ids for each document."""
+    ends = np.concatenate(([0], np.cumsum(lengths) * 2)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids, "<i2"))])
+
+
+def unpacked_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents, one after the other, and each one's number."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(flat).view("<i2"), np.diff(ends).astype(np.int64) // 2
+
+
+def _encoded(words: list[str], speller):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(words, speller.value if speller else None)
+        for batch in batches:
+            at = 0
+            for texts in text_runs(batch.column(1), _TEXT_BYTES):
+                raws, codes, lengths = coded(texts)
+                ids, cost = known.look_up(raws)
+                upto = np.concatenate(([0.0], np.cumsum(cost[codes])))
+                ends = np.cumsum(lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), packed_ids(ids[codes], lengths), pa.array(upto[ends] - upto[ends - lengths])],
+                    ["id", "ids", "spelled"],
+                )
+                at += len(texts)
+
+    return run
+
+
+def encode(docs: DataFrame, words: list[str], speller=None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, spelled) of each row of ``docs``: its tokens' ids and what their spelling adds to its score.
+
+    ``speller``: a broadcast speller, or none, by which ``spelled`` is 0.
+    """
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_encoded(words, speller), f"id {kind}, ids binary, spelled double")
+
+
+def _documents(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, lengths) of documents that have about _TOKENS tokens at most."""
+    ids, lengths = unpacked_ids(column)
+    at = 0
+    for a, b in runs(lengths, _TOKENS):
+        n = int(lengths[a:b].sum())
+        yield ids[at : at + n], lengths[a:b]
+        at += n
+
+
+def learn(net: WindowNetwork, column: pa.Array, offset: int, stride: int) -> int:
+    """Steps of ``BATCH`` targets over the documents in ``column``; how many targets there were."""
+    seen = 0
+    for ids, lengths in _documents(column):
+        line, at = masked(ids, lengths, offset, stride)
+        for k in range(0, len(at), BATCH):
+            a = at[k : k + BATCH]
+            net.step(contexts(line, a), line[a])
+        seen += len(at)
+    return seen
+
+
+def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(VOCABULARY, np.int64)
+    for batch in batches:
+        for ids, _ in _documents(batch.column(0)):
+            total += np.bincount(ids, minlength=VOCABULARY)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"k": pa.array(seen), "n": pa.array(total[seen])})
+
+
+def id_counts(encoded: DataFrame) -> np.ndarray:
+    """How often each id occurs in all of ``encoded``."""
+    made = encoded.select("ids").mapInArrow(_id_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(VOCABULARY, np.int64)
+    counts[made["k"].to_numpy()] = made["n"].to_numpy()
+    return counts
 
 
-def _trained(words: list[str], start, offset: int, stride: int, fan: int):
+def _trained(start, counts: np.ndarray, offset: int, stride: int, fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids = Vocabulary(words)
-        net = WindowNetwork().load(np.frombuffer(start.value, np.float32))
-        held, size, seen = [], 0, 0
-
-        def learn() -> int:
-            context, target = _masked(held, offset, stride)
-            for k in range(0, len(target), BATCH):
-                net.step(context[k : k + BATCH], target[k : k + BATCH])
-            return len(target)
-
-        for text in _texts(batches, 0):
-            held.append(ids.ids(text))
-            size += len(held[-1])
-            if size >= BATCH * 32:
-                seen += learn()
-                held, size = [], 0
-        if held:
-            seen += learn()
+        net = WindowNetwork().start(counts).load(np.frombuffer(start.value, np.float32))
+        seen = sum(learn(net, batch.column(0), offset, stride) for batch in batches)
         if seen:
             flat = net.flat()
             part = TaskContext.get().partitionId() % fan
@@ -344,16 +426,16 @@ def _averaged(table: pa.Table) -> pa.Table:
     )
 
 
-def train(docs: DataFrame, words: list[str], *, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """The parameters of a network trained on all ``docs``, with each token as the target in one of the rounds."""
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(col(text_col).cast("string").alias("t"))
-    flat = WindowNetwork().flat()
+def train(encoded: DataFrame, counts: np.ndarray, *, rounds: int = ROUNDS) -> np.ndarray:
+    """The parameters of a network trained on all of ``encoded``, with each token as the target in one of the rounds."""
+    sc = encoded.sparkSession.sparkContext
+    rows = encoded.select("ids")
+    flat = WindowNetwork().start(counts).flat()
     fan = max(1, math.isqrt(rows.rdd.getNumPartitions()))
     schema = "block int, part int, n double, v binary"
     for k in range(rounds):
         start = sc.broadcast(flat.astype(np.float32).tobytes())
-        made = rows.mapInArrow(_trained(words, start, k, rounds, fan), schema)
+        made = rows.mapInArrow(_trained(start, counts, k, rounds, fan), schema)
         made = made.groupBy("block", "part").applyInArrow(_averaged, schema)
         made = made.groupBy("block").applyInArrow(_averaged, schema)
         blocks = sorted(made.select("block", "v").collect())
@@ -363,26 +445,14 @@ def train(docs: DataFrame, words: list[str], *, text_col: str = "text", rounds:
     return flat
 
 
-def _scored(words: list[str], params, speller):
+def _scored(params, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Vocabulary(words)
-        spelled = Spellings(words, speller.value)
-        net = WindowNetwork().load(np.frombuffer(params.value, np.float32))
+        net = WindowNetwork().start(counts).load(np.frombuffer(params.value, np.float32))
         for batch in batches:
-            held, texts, size, lengths, sums = [], [], 0, [], []
-            for t in batch.column(1):
-                texts.append(t.as_py())
-                held.append(ids.ids(texts[-1]))
-                lengths.append(len(held[-1]))
-                size += lengths[-1]
-                if size >= _CHUNK:
-                    sums += map(sum, zip(log_probabilities(net, held), spelled.of(texts), strict=True))
-                    held, texts, size = [], [], 0
-            if held:
-                sums += map(sum, zip(log_probabilities(net, held), spelled.of(texts), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64())], ["id", "n_tokens", "log_prob"]
-            )
+            made = [(lengths, log_probabilities(net, ids, lengths)) for ids, lengths in _documents(batch.column(1))]
+            lengths, sums = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64), np.zeros(0))
+            sums = sums + batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(sums)], ["id", "n_tokens", "log_prob"])
 
     return run
 
@@ -394,9 +464,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ro
     seen = durable(word_sums(docs, text_col))
     words = most_frequent(seen)
     speller = spark.sparkContext.broadcast(spelling.Speller(*trigram_counts(seen, words), words, HASHED))
-    params = spark.sparkContext.broadcast(train(docs, words, text_col=text_col, rounds=rounds).astype(np.float32).tobytes())
-    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(_scored(words, params, speller), f"id {kind}, n_tokens long, log_prob double")
+    encoded = durable(encode(docs, words, speller, id_col=id_col, text_col=text_col))
+    counts = id_counts(encoded)
+    params = spark.sparkContext.broadcast(train(encoded, counts, rounds=rounds).astype(np.float32).tobytes())
+    kind = encoded.schema["id"].dataType.simpleString()
+    made = encoded.mapInArrow(_scored(params, counts), f"id {kind}, n_tokens long, log_prob double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return made.select(F.col("id").alias(id_col), "n_tokens", "log_prob", mean.alias("mean_log_prob"))

@@ -91,6 +91,12 @@ def test_packing_odd(odd, odd_rows, none):
     assert P.pack(none).count() == 0
 
 
+def test_null_texts_do_not_conflict(spark):
+    docs = spark.createDataFrame([(k, None, f"s{k}") for k in range(3)] + [(9, "", "s9"), (10, "", "s10")], "doc_id long, text string, source string")
+    rows = {r.doc_id: r.bin for r in P.pack(docs).collect()}
+    assert len({rows[k] for k in range(3)}) == 1 and rows[9] != rows[10]
+
+
 def test_a_repeated_row_is_dealt_over_the_groups(spark):
     docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
     rows = P.pack(docs, group_rows=300).collect()
@@ -101,95 +107,201 @@ def test_a_repeated_row_is_dealt_over_the_groups(spark):
 # --- LM scoring
 
 
+def brute_step(net, squares, context, target, rate):
+    """One AdaGrad step, target by target, in double precision."""
+    p = {k: v.astype(np.float64) for k, v in net.items() if k != "prior"}
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    loss = 0.0
+    for near, t in zip(context.tolist(), target.tolist(), strict=True):
+        cls, member = divmod(t, L.CLASS)
+        rows = [k * (L.VOCABULARY + 1) + i for k, i in enumerate(near)]
+        z = p["b"] + sum(p["e"][r] for r in rows)
+        z2 = z + p["c"][cls]
+        h, h2 = z / (1 + abs(z)), z2 / (1 + abs(z2))
+        x, y = h @ p["wc"] + p["bc"], h2 @ p["wm"] + net["prior"][cls]
+        px, py = np.exp(x - x.max()), np.exp(y - y.max())
+        px, py = px / px.sum(), py / py.sum()
+        loss -= np.log(px[cls]) + np.log(py[member])
+        px[cls] -= 1
+        py[member] -= 1
+        d2 = p["wm"] @ py / (1 + abs(z2)) ** 2
+        d = p["wc"] @ px / (1 + abs(z)) ** 2 + d2
+        for k, v in (("wc", np.outer(h, px)), ("bc", px), ("wm", np.outer(h2, py)), ("b", d)):
+            g[k] += v
+        g["c"][cls] += d2
+        for r in rows:
+            g["e"][r] += d
+    for k in p:
+        g[k] /= len(target)
+        squares[k] += g[k] ** 2
+        p[k] -= rate * g[k] / np.sqrt(squares[k])
+    return {**p, "prior": net["prior"]}, loss / len(target)
+
+
+def brute_windows(docs, offset, stride):
+    """(context, target) of the masked tokens of each document."""
+    found = []
+    for d in docs:
+        line = [L.PAD] * L.SIDE + list(d) + [L.PAD] * L.SIDE
+        for k in range(offset, len(d), stride):
+            near = line[k : k + 2 * L.SIDE + 1]
+            found.append((near[: L.SIDE] + near[L.SIDE + 1 :], d[k]))
+    return np.array([f[0] for f in found]).reshape(len(found), 2 * L.SIDE), np.array([f[1] for f in found])
+
+
+def brute_start(docs):
+    net = L.WindowNetwork().start(np.bincount([t for d in docs for t in d], minlength=L.VOCABULARY))
+    return {**{k: v.astype(np.float64) for k, v in net.p.items()}, "prior": net.prior}
+
+
+def test_steps_against_brute_force():
+    rng = np.random.default_rng(0)
+    docs = [rng.integers(0, L.VOCABULARY, n).tolist() for n in (30, 1, 12)]
+    net, squares = brute_start(docs), {}
+    for k, v in net.items():
+        squares[k] = np.full(v.shape, L._FIRST)
+    fast = L.WindowNetwork().start(np.bincount(sum(docs, []), minlength=L.VOCABULARY))
+    for k in range(3):
+        context, target = brute_windows(docs, k, 3)
+        net, loss = brute_step(net, squares, context, target, L.RATE)
+        assert abs(fast.step(context, target) - loss) < 1e-4
+    for k, v in fast.p.items():
+        assert np.abs(v - net[k]).max() < 2e-3, k
+
+
 def test_gradients():
-    net = L.WindowNetwork(3)
+    """Against differences of the loss, in double precision."""
+    net = L.WindowNetwork(3).start(np.arange(L.VOCABULARY))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.prior = net.prior.astype(np.float64)
     rng = np.random.default_rng(0)
     context, target = rng.integers(0, L.VOCABULARY, (6, 4)), rng.integers(0, L.VOCABULARY, 6)
     moved = {}
-    net._move = lambda k, at, g, rate: moved.setdefault(k, []).append((at, g))
+    net._move = lambda k, at, g, rate: moved.setdefault(k, (at, g))
     net.step(context, target)
 
     def loss():
         return -net.forward(context, target)[0].mean()
 
-    for k, at in (("wc", (3, 5)), ("bm", (int(target[0] % L.CLASS),)), ("b", (7,))):
+    rows, g = moved["e"]
+    tried = [("wc", (3, 5), moved["wc"][1][3, 5]), ("bc", (4,), moved["bc"][1][4]), ("b", (7,), moved["b"][1][7])]
+    tried += [("e", (int(rows[k]), 2), g[k, 2]) for k in (0, 9, len(rows) - 1)]
+    for k, at, want in tried:
         old = net.p[k][at]
         net.p[k][at] = old + 1e-5
         up = loss()
         net.p[k][at] = old - 1e-5
         down = loss()
         net.p[k][at] = old
-        assert abs((up - down) / 2e-5 - moved[k][0][1][at]) < 1e-6
-    (_, rows), g = moved["e"][0]
-    r = int(rows[0])
-    old = net.p["e"][0, r, 2]
-    net.p["e"][0, r, 2] = old + 1e-5
-    up = loss()
-    net.p["e"][0, r, 2] = old - 1e-5
-    assert abs((up - loss()) / 2e-5 - g[0, 2]) < 1e-6
+        assert abs((up - down) / 2e-5 - want) < 1e-6
 
 
 def test_probabilities_sum_to_one():
-    net = L.WindowNetwork(1)
+    net = L.WindowNetwork(1).start(np.arange(L.VOCABULARY))
     context = np.tile(np.array([[5, 9, 4000, L.PAD]]), (L.VOCABULARY, 1))
     assert abs(np.exp(net.forward(context, np.arange(L.VOCABULARY))[0].astype(float)).sum() - 1) < 1e-4
 
 
+def test_the_start_is_the_share_of_the_corpus():
+    counts = np.arange(L.VOCABULARY)
+    net = L.WindowNetwork().start(counts)
+    for k in ("wc", "wm"):
+        net.p[k][:] = 0
+    got = net.forward(np.zeros((3, 4), int), np.array([7, 2000, 4095]))[0]
+    assert np.allclose(got, np.log((counts[[7, 2000, 4095]] + 0.5) / (counts + 0.5).sum()), atol=1e-4)
+
+
+def flat(docs):
+    return np.concatenate([np.array(d, np.int16) for d in docs] or [np.zeros(0, np.int16)]), np.array([len(d) for d in docs], np.int64)
+
+
 def test_scores_are_sums_over_windows():
     net, rng = L.WindowNetwork(2), np.random.default_rng(5)
-    docs = [rng.integers(0, L.VOCABULARY, n) for n in (0, 1, 3, 40, 0, 2)]
-    for d, got in zip(docs, L.log_probabilities(net, docs), strict=True):
+    docs = [rng.integers(0, L.VOCABULARY, n) for n in (0, 1, 3, 5000, 0, 2)]
+    for d, got in zip(docs, L.log_probabilities(net, *flat(docs)), strict=True):
         line = [L.PAD] * 2 + d.tolist() + [L.PAD] * 2
         want = sum(float(net.forward(np.array([[line[k - 2], line[k - 1], line[k + 1], line[k + 2]]]), np.array([line[k]]))[0][0]) for k in range(2, len(line) - 2))
-        assert abs(got - want) < 1e-3
-    assert L.log_probabilities(net, []) == [] and L.log_probabilities(net, [docs[0]]) == [0.0]
+        assert abs(got - want) < 1e-4 * max(1, len(d))
+    assert L.log_probabilities(net, *flat([])).tolist() == [] and L.log_probabilities(net, *flat([docs[0]])).tolist() == [0.0]
 
 
-def test_training_beats_the_start_and_shuffled_text(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    words = L.vocabulary(docs)
-    assert words[0] and len(words) == L.VOCABULARY - L.HASHED
-    flat = L.train(docs, words)
-    ids = L.Vocabulary(words)
-    texts = [r.text for r in docs.where("doc_id % 20 = 0 and lang = 'en'").collect()]
-    held = [ids.ids(t) for t in texts]
-    n = sum(map(len, held))
-    start = sum(L.log_probabilities(L.WindowNetwork(), held)) / n
-    trained = sum(L.log_probabilities(L.WindowNetwork().load(flat), held)) / n
-    assert trained > start + 0.5
-
-
-@pytest.mark.parametrize("rounds", [1, 2, 3])
-def test_every_token_is_a_target_once(spark, monkeypatch, rounds):
+def test_ids_are_packed_and_unpacked():
     import pyarrow as pa
 
-    seen, masked = [], L._masked
-    monkeypatch.setattr(L, "_masked", lambda *a: seen.append(masked(*a)) or seen[-1])
-    words = [f"w{k}" for k in range(300)]
-    texts = ["w1", None, "w2 w3", "", " ".join(words[4:]), "w0"]
+    docs = [[1, 2, 4095], [], [7], []]
+    made = L.packed_ids(*flat(docs))
+    for a, b in ((0, 4), (1, 3), (3, 4), (2, 2)):
+        ids, lengths = L.unpacked_ids(made.slice(a, b - a))
+        assert ids.tolist() == sum(docs[a:b], []) and lengths.tolist() == [len(d) for d in docs[a:b]]
+    assert L.unpacked_ids(pa.array([], pa.binary()))[0].size == 0
 
-    class Start:
-        value = L.WindowNetwork().flat().tobytes()
 
-    class Context:
-        get = staticmethod(lambda: Context)
-        partitionId = staticmethod(lambda: 0)
+def test_encoding_is_that_of_each_word(spark, monkeypatch):
+    monkeypatch.setattr(L, "_TEXT_BYTES", 64)
+    texts = ["W0 w1, 'w2' zz", None, "", " \u3000w1\x1c-- ", "q " * 100, "w2"]
+    words = ["w0", "w1", "w2"]
+    known = L.Vocabulary(words)
+    made = L.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), words).collect()
+    for k, r in enumerate(sorted(made)):
+        assert np.frombuffer(r.ids, "<i2").tolist() == known.ids(texts[k]).tolist()
 
-    monkeypatch.setattr("pyspark.TaskContext", Context)
-    found = []
-    trained = L._trained
 
-    def kept(words, start, *a):
-        found.append(a)
-        return trained(words, start, *a)
+def test_training_beats_the_shares_of_words_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = L.vocabulary(docs)
+    assert words[0] and len(words) == L.VOCABULARY - L.HASHED
+    encoded = L.encode(docs.where("doc_id % 5 > 0"), words)
+    counts = L.id_counts(encoded)
+    assert counts.sum() == sum(len((r.text or "").split()) for r in docs.where("doc_id % 5 > 0").collect())
+    ids, lengths = flat([L.Vocabulary(words).ids(r.text) for r in docs.where("doc_id % 5 = 0").collect()])
+    shares = np.log((counts + 0.5) / (counts + 0.5).sum())[ids].mean()
+    net = L.WindowNetwork().start(counts).load(L.train(encoded, counts))
+    assert L.log_probabilities(net, ids, lengths).sum() / len(ids) > shares + 0.1
+
 
-    monkeypatch.setattr(L, "_trained", kept)
-    L.train(spark.createDataFrame([(t,) for t in texts], "text string"), words, rounds=rounds)
-    seen.clear()
-    for a in found:
-        list(trained(words, Start, *a)(iter([pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())})])))
-    assert len(found) == rounds and sorted(np.concatenate([m[1] for m in seen]).tolist()) == list(range(300))
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_token_is_a_target_once(rounds):
+    docs = [[1], [], [2, 3], list(range(4, 300)), [0]]
+    seen = []
+    for k in range(rounds):
+        line, at = L.masked(*flat(docs), k, rounds)
+        context, target = brute_windows(docs, k, rounds)
+        assert np.array_equal(L.contexts(line, at), context) and np.array_equal(line[at], target)
+        seen += line[at].tolist()
+    assert sorted(seen) == list(range(300))
+
+
+def brute_learn(net, docs, offset, stride, batch):
+    squares = {k: np.full(v.shape, L._FIRST) for k, v in net.items()}
+    context, target = brute_windows(docs, offset, stride)
+    for k in range(0, len(target), batch):
+        net, _ = brute_step(net, squares, context[k : k + batch], target[k : k + batch], L.RATE)
+    return net, len(target)
+
+
+def test_learning_against_brute_force(monkeypatch):
+    monkeypatch.setattr(L, "BATCH", 16)
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 50, n).tolist() for n in (40, 3, 25, 0, 7)]
+    net = L.WindowNetwork().start(np.bincount(sum(docs, []), minlength=L.VOCABULARY))
+    want, n = brute_learn(brute_start(docs), docs, 1, 2, 16)
+    assert L.learn(net, L.packed_ids(*flat(docs)), 1, 2) == n
+    for k, v in net.p.items():
+        assert np.abs(v - want[k]).max() < 5e-3, k
+
+
+def test_training_against_brute_force(spark):
+    """Two partitions, two rounds: steps by brute force, then the weighted mean of the partitions' parameters."""
+    rng = np.random.default_rng(3)
+    parts = [[rng.integers(0, 50, n).tolist() for n in ns] for ns in ((40, 3, 0), (25, 0, 7))]
+    every = parts[0] + parts[1]
+    rows = spark.sparkContext.parallelize([(bytearray(np.array(d, "<i2").tobytes()),) for d in every], 2)
+    got = L.train(spark.createDataFrame(rows, "ids binary"), np.bincount(sum(every, []), minlength=L.VOCABULARY))
+    net = brute_start(every)
+    for r in range(2):
+        made = [brute_learn(net, p, r, 2, L.BATCH) for p in parts]
+        net = {k: sum(m[k] * n for m, n in made) / sum(n for _, n in made) for k in net}
+    assert np.abs(got - np.concatenate([net[k].ravel() for k in L.WindowNetwork().p])).max() < 5e-3
 
 
 def test_words_of_one_bucket_have_their_own_probabilities(spark):
@@ -197,7 +309,7 @@ def test_words_of_one_bucket_have_their_own_probabilities(spark):
 
     frequent = " ".join(f"w{k}" for k in range(L.VOCABULARY - L.HASHED))
     near = [w for k in range(40_000) if zlib.crc32((w := f"zzq{k}").encode()) % L.HASHED == 7][:4]
-    assert len({L.Vocabulary([])[w] for w in near}) == 1
+    assert len(set(L.Vocabulary([]).look_up(near)[0].tolist())) == 1
     rows = [(0, frequent), (1, frequent)] + [(k, f"w1 w2 {w} w3 w4") for k, w in enumerate(near, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [round(r.log_prob, 3) for r in L.score(docs, rounds=1).orderBy("doc_id").collect()]
