@@ -146,7 +146,81 @@ def test_run_from_cascades_and_build_is_guarded(frames):
     ready, blocked = stages.guarded_builds(stages.build_inputs(pages, results["ocr"], status))
     assert ready.count() == 0 and blocked.first().error == "2 page(s) without recognised text"
     ready, blocked = stages.guarded_builds(stages.build_inputs(pages.where("page_index < 7"), results["ocr"], status))
-    assert [p.page_index for p in ready.first().pages] == [0, 1]
+    assert sorted((r.page_index, r.payload, r.osd_angle) for r in ready.collect()) == [(0, "in0!!!", 0), (1, "in1!!!", 0)] and blocked.count() == 0
+
+
+def test_each_page_is_computed_once_for_each_stage(spark):
+    """100 pages and four stages are 400 calls, whatever is read of the results; a second run makes none."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def compute(df):
+        def run(batches):
+            for pdf in batches:
+                calls.add(len(pdf))
+                yield pdf[["project_id", "page_index"]].assign(payload=pdf["payload"] + "!", error=None)
+
+        return df.mapInPandas(run, "project_id string, page_index int, payload string, error string")
+
+    pages = spark.createDataFrame([("p", i, None) for i in range(100)], "project_id string, page_index int, rotation_override int")
+    status = spark.createDataFrame([], "project_id string, page_index int, stage string, hash string, artifact_path string, size_bytes long")
+    none = spark.createDataFrame([], "project_id string, page_index int, payload string")
+    held = {"source": pages.selectExpr("project_id", "page_index", "'x' AS payload"), **{s: none for s in hashing.PAGE_STAGES}}
+    computes, s = {k: compute for k in hashing.PAGE_STAGES}, hashing.default_settings()
+    status, results, events = stages.run_from("all", s, pages, status, held, computes)
+    assert {(r.stage, r["count"]) for r in events.where("status = 'done'").groupBy("stage").count().collect()} == {(k, 100) for k in hashing.PAGE_STAGES}
+    assert status.count() == 400 and results["ocr"].where("payload = 'x!!!'").count() == 100 and events.count() == 400
+    assert calls.value == 400
+    _, _, events = stages.run_from("all", s, pages, status, results, computes)
+    assert events.where("status = 'cached'").count() == 400 and calls.value == 400
+
+
+def test_detect_needs_the_rendered_page_too(frames):
+    pages, status, inputs, none = frames
+    s = hashing.default_settings()
+    second = inputs.where("page_index > 0")
+    run = stages.run_stage("detect", s, pages, status, inputs, none, _compute, second=second)
+    got = {r.page_index: (r.status, r.error) for r in run.events.collect()}
+    assert got == {0: ("failed", "no render artifact"), 1: ("done", None), 7: ("failed", "broken"), 9: ("failed", "no preprocess artifact")}
+    # one that is cached is not read again, whatever became of the rendered page
+    again = stages.run_stage("detect", s, pages, run.status, inputs, run.results, _compute, second=second.limit(0))
+    assert {r.page_index: r.status for r in again.events.collect()} == {0: "failed", 1: "cached", 7: "failed", 9: "failed"}
+
+
+def test_build_is_guarded_cached_and_by_index(spark):
+    """Project p is built of pages 2 and 0, q lacks a page, r has a build under this key."""
+    from quirework.operators import kernels, pdf
+    from test_images import page
+
+    s = hashing.default_settings()
+    key = spark.range(1).select(hashing.settings_hash(s, "build")).first()[0]
+    pages = spark.createDataFrame([("p", 2, 90), ("p", 0, None), ("q", 0, None), ("q", 1, None), ("r", 0, None)], "project_id string, page_index int, rotation_override int")
+    results = spark.createDataFrame([("p", 2, "third"), ("p", 0, "first"), ("q", 0, "one"), ("r", 0, "old")], "project_id string, page_index int, payload string")
+    status = spark.createDataFrame([("p", 0, "preprocess", 180)], "project_id string, page_index int, stage string, osd_angle int")
+    builds = spark.createDataFrame([("r", key, "r/output.pdf", 3), ("p", "old", "p/output.old.pdf", 1)], "project_id string, hash string, artifact_path string, size_bytes long")
+    stored = spark.createDataFrame([("r", bytearray(b"pdf")), ("p", bytearray(b"old"))], "project_id string, content binary")
+    png = bytearray(kernels.png_encode(page(33, 25)))
+
+    def compute(rows):
+        words = F.array(F.struct(F.col("payload").alias("text"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(9.0).alias("size")))
+        return pdf.build(
+            rows.select(
+                "project_id", F.lit("n").alias("name"), "page_index", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"),
+                F.col("osd_angle").alias("rotation"), words.alias("words"), F.lit(bytes(png)).alias("payload"),
+            )
+        )
+
+    run = stages.run_build(s, pages, results, status, builds, stored, compute)
+    got = {r.project_id: (r.page_index, r.status, r.error) for r in run.events.collect()}
+    assert got == {"p": (-1, "done", None), "q": (-1, "failed", "1 page(s) without recognised text"), "r": (-1, "cached", None)}
+    docs = {r.project_id: bytes(r.content) for r in run.documents.collect()}
+    assert docs.keys() == {"p", "r"} and docs["r"] == b"pdf" and pdf.texts(docs["p"]) == [["first"], ["third"]]
+    assert docs["p"].index(b"/Rotate 180") < docs["p"].index(b"/Rotate 90")
+    held = {r.project_id: (r.hash, r.artifact_path, r.size_bytes) for r in run.builds.collect()}
+    assert held == {"p": (key, f"p/output.{key}.pdf", len(docs["p"])), "r": (key, "r/output.pdf", 3)}
+    again = stages.run_build(s, pages, results, status, run.builds, run.documents, compute)
+    assert {r.project_id: r.status for r in again.events.collect()} == {"p": "cached", "q": "failed", "r": "cached"}
+    gone = stages.run_build(s, pages, results, status, run.builds, run.documents.limit(0), compute)
+    assert {r.project_id: r.status for r in gone.events.collect()} == {"p": "done", "q": "failed", "r": "done"}
 
 
 # --- recognisers
@@ -167,16 +241,69 @@ def test_visible_providers(spark):
     assert {"tesseract", "onnx-paddle", "mistral-ocr"} <= got and "gemini-flash" not in got
 
 
-def test_pages_and_regions_are_recognised(spark):
-    pages = spark.createDataFrame([("p", 0, 0, b"x"), ("p", 1, 0, b"y")], "project_id string, page_index int, region int, content binary")
+def test_pages_are_recognised(spark):
+    pages = spark.createDataFrame([("p", 0, b"x"), ("p", 1, b"y")], "project_id string, page_index int, content binary")
     got = {r.page_index: (r.text, r.error) for r in recognisers.recognise_pages(pages, recognisers.mock(), "eng").collect()}
     assert got[1] == ("Mock page 2 of example document.", None)
     missing = recognisers.recognise_pages(pages, recognisers.recogniser("tesseract"), "eng").first()
     assert missing.text is None and "not installed" in missing.error
-    whole = spark.createDataFrame([("p", 0, b"x", 100, 80), ("p", 1, b"y", 100, 80)], "project_id string, page_index int, content binary, width int, height int")
-    det = spark.createDataFrame([("p", 0, [(1, 2, 3, 4), (5, 6, 7, 8), (9, 9, 9, 9)])], "project_id string, page_index int, regions array<struct<x:int,y:int,width:int,height:int>>")
-    rows = {r.page_index: r for r in recognisers.by_region(whole, det, recognisers.mock(), "eng").collect()}
-    assert [ln.bbox.x for ln in rows[0].lines] == [1, 5, 9] and rows[1].lines[0].bbox.width == 100
+
+
+def test_each_region_is_cropped_before_the_call(spark):
+    """A recogniser that answers with the size and the first pixel of what it is given."""
+    from quirework.operators import kernels
+    import numpy as np
+
+    image = np.arange(80 * 100).reshape(80, 100) % 251
+    png = kernels.png_encode(image.astype(np.uint8))
+
+    def measure(content, index, language):
+        got = kernels.png_decode(content)
+        if got.shape[1] == 7:
+            raise ValueError("seven")
+        return f" {got.shape[1]} x {got.shape[0]}\n{got[0, 0, 0]} "
+
+    which = recognisers.Recogniser("size", "Size", "hosted", measure)
+    pages = spark.createDataFrame([("p", k, bytearray(png), 100, 80) for k in range(4)] + [("p", 4, bytearray(b"broken"), 100, 80)], "project_id string, page_index int, content binary, width int, height int")
+    boxes = [(10, 20, 30, 4), (0, 0, 5, 9), (60, 70, 40, 10)]
+    det = spark.createDataFrame(
+        [("p", 0, boxes), ("p", 2, []), ("p", 3, [(0, 0, 7, 7), (0, 0, 5, 5)]), ("p", 4, boxes[:1])],
+        "project_id string, page_index int, regions array<struct<x:int,y:int,width:int,height:int>>",
+    )
+    rows = {r.page_index: r for r in recognisers.by_region(pages, det, which, "eng").collect()}
+    first = lambda x, y: image[y, x]
+    want = [f"{w} x {h}\n{first(x, y)}" for x, y, w, h in boxes]
+    assert rows[0].text == "\n".join(want) and rows[0].error is None
+    assert [(ln.text, tuple(ln.bbox)) for ln in rows[0].lines] == list(zip(want, boxes, strict=True))
+    # words stand in their region, line by line of the crop
+    assert [(w.text, tuple(w.bbox)) for w in rows[0].lines[0].words] == [("30", (10, 20, 30, 2)), ("x", (10, 20, 30, 2)), ("4", (10, 20, 30, 2)), (str(first(10, 20)), (10, 22, 30, 2))]
+    assert len(rows[0].words) == 12
+    for k in (1, 2):
+        assert [ln.text for ln in rows[k].lines] == ["100 x 80", "0"] and rows[k].lines[1].bbox.y == 40 and rows[k].text == " 100 x 80\n0 "
+    assert rows[3].error == "seven" and rows[4].error
+
+
+def test_requests_of_the_hosted_services(spark):
+    import base64
+    import json
+
+    seen = []
+
+    def send(url, headers, body):
+        seen.append((url, headers, json.loads(body)))
+        if "mistral" in url:
+            return 200, json.dumps({"pages": [{"markdown": "# Title"}]}).encode()
+        return 200, json.dumps({"candidates": [{"content": {"parts": [{"text": "plain"}]}}]}).encode()
+
+    assert recognisers.gemini("k&y", send).recognise(b"img", 0, "eng") == "plain"
+    assert recognisers.mistral("key", send).recognise(b"img", 0, "eng") == "# Title"
+    data = base64.b64encode(b"img").decode()
+    (url, headers, body), (url2, headers2, body2) = seen
+    assert url.endswith("?key=k%26y") and body["contents"][0]["parts"][1] == {"inlineData": {"mimeType": "image/png", "data": data}}
+    assert body["generationConfig"]["temperature"] == 0 and "Authorization" not in headers
+    assert headers2["Authorization"] == "Bearer key" and body2 == {"model": "mistral-ocr-latest", "document": {"type": "image_url", "image_url": "data:image/png;base64," + data}}
+    page = spark.createDataFrame([("p", 0, b"x")], "project_id string, page_index int, content binary")
+    assert recognisers.recognise_pages(page, recognisers.recogniser("mistral-ocr"), "eng").first().error == "mistral-ocr has no key"
 
 
 def test_hosted_replies():
