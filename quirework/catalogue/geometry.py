@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import split_words
 from ..operators import geometry, layout
-from .layouts import _DOCS, HEIGHT, WIDTH, _words, page_lines
+from .layouts import _DOCS, HEIGHT, WIDTH, _words, line_rows
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_lines(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("line", "l"))
+    rows = line_rows(spark, sf_dir)
     x = F.pmod(F.col("line") * 37 + F.col("doc_id") * 13, F.lit(400))
-    b = layout.box(x, F.col("l.bbox.y"), F.greatest(F.lit(1), F.size("l.words") * 35), F.col("l.bbox.height"))
+    b = layout.box(x, F.col("bbox.y"), F.greatest(F.lit(1), F.size(split_words(F.col("text"))) * 35), F.col("bbox.height"))
     return rows.select("doc_id", "line", b.alias("b"))
 
 

@@ -10,30 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_WS, TRIM, WS, join_growing
+from ..functions.text import NOT_WS, TRIM, WS, join_growing, split_lines, split_words
 from ..operators import layout, overlay
-from ..runtime import table
+from ..runtime import spread, table
 
 WIDTH, HEIGHT = 2550, 3300
 POINTS_W, POINTS_H = 612.0, 792.0
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")))
+
+
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, text, lines): one page each."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    docs = _texts(spark, sf_dir)
     return docs.withColumn("lines", layout.even_lines(F.col("text"), F.lit(WIDTH), F.lit(HEIGHT)))
 
 
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, line, text, bbox): the lines of ``page_lines`` without their words."""
+    return layout.even_line_rows(_texts(spark, sf_dir), ["doc_id", "source"], F.col("text"), F.lit(WIDTH), F.lit(HEIGHT))
+
+
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_lines(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("line", "l"))
-    return rows.select("doc_id", "line", F.col("l.text").alias("text"), "l.bbox.*", F.size("l.words").alias("n_words"))
+    return line_rows(spark, sf_dir).select("doc_id", "line", "text", "bbox.*", F.size(split_words(F.col("text"))).alias("n_words"))
 
 
 def words_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = page_lines(spark, sf_dir).select("doc_id", "source", F.posexplode("lines").alias("line", "l"))
-    return lines.select("doc_id", "source", "line", F.posexplode("l.words").alias("word", "w")).select(
-        "doc_id", "source", "line", "word", F.col("w.text").alias("text"), F.col("w.bbox").alias("bbox"), F.col("w.confidence").alias("confidence")
-    )
+    """(doc_id, source, line, word, text, bbox, confidence): the words of ``page_lines``, whose box is made once for each line."""
+    return layout.even_words(_texts(spark, sf_dir), ["doc_id", "source"], F.col("text"), F.lit(WIDTH), F.lit(HEIGHT))
 
 
 def layout_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +84,12 @@ def overlay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_lines(spark, sf_dir)
-    words = F.flatten(F.transform("lines", lambda ln: ln["words"]))
-    joined = F.array_join(F.transform("lines", lambda ln: ln["text"]), "\n")
+    rows = _texts(spark, sf_dir).select("doc_id", split_lines(F.col("text")).alias("lines"))
+    joined = F.array_join("lines", "\n")
     return rows.select(
         "doc_id",
         F.size("lines").alias("n_lines"),
-        F.size(words).alias("n_words"),
+        F.aggregate("lines", F.lit(0), lambda n, ln: n + F.size(split_words(ln))).alias("n_words"),
         F.length(joined).alias("n_chars"),
         F.sha2(joined.cast("binary"), 256).alias("text_sha256"),
     )

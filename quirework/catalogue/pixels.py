@@ -47,7 +47,7 @@ def tile_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_profile_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.ink_runs(tiles.ink_rows(_px(spark, sf_dir), "vec_id"), "vec_id", 7, 1, 2)
+    return tiles.ink_runs(tiles.ink_rows(_px(spark, sf_dir), "vec_id"), "vec_id", 7, 1, 2, SIDE)
 
 
 def tile_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +131,9 @@ SELECT vec_id, string_agg(CASE WHEN b = 1 OR n >= 2 THEN '1' ELSE '0' END, '' OR
 WITH {_TILE},
 r AS (SELECT vec_id, y FROM px GROUP BY vec_id, y HAVING count(*) FILTER (v < 200) >= 7),
 o AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY vec_id ORDER BY y) - 1 <= 1 THEN 0 ELSE 1 END AS o FROM r),
-g AS (SELECT *, sum(o) OVER (PARTITION BY vec_id ORDER BY y ROWS UNBOUNDED PRECEDING) AS g FROM o)
-SELECT vec_id, min(y) AS start, max(y) AS "end" FROM g GROUP BY vec_id, g HAVING max(y) - min(y) + 1 >= 2""",
+g AS (SELECT *, sum(o) OVER (PARTITION BY vec_id ORDER BY y ROWS UNBOUNDED PRECEDING) AS g FROM o),
+r2 AS (SELECT vec_id, min(y) AS start, CASE WHEN 7 - max(y) <= 1 THEN 7 ELSE max(y) END AS "end" FROM g GROUP BY vec_id, g)
+SELECT * FROM r2 WHERE "end" - start + 1 >= 2""",
     "tile_purity": f"WITH {_TILE} SELECT vec_id, round(avg(CASE WHEN v <= 5 OR v >= 250 THEN 1.0::DOUBLE ELSE 0 END), 6) AS purity FROM px GROUP BY vec_id",
     "tile_turns": f"""
 WITH {_TILE}

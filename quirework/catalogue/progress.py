@@ -112,9 +112,9 @@ def size_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh page is removed; the others keep their index and close up their position."""
+    """Pages keep their index, which has holes where a project's neighbours are others'; positions close up."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("project_id"), F.col("doc_id").alias("page_index"))
-    return progress.display_positions(docs.where(F.pmod("page_index", F.lit(7)) != 3))
+    return progress.display_positions(docs)
 
 
 def cache_miss_work(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +255,7 @@ f AS (SELECT *, CASE WHEN source < 1024 THEN source || ' B' WHEN source < 104857
 SELECT doc_id, percent, CASE WHEN percent IS NULL THEN NULL WHEN percent <= -5 THEN 'smaller' WHEN percent >= 5 THEN 'larger' ELSE 'same' END AS tone,
        CAST(length(fs || ' → ' || fb || ' (' || CASE WHEN percent >= 0 THEN '+' ELSE '' END || percent || '%)') AS INT) AS label_chars,
        regexp_extract(fs, '[A-Z]+$', 0) AS unit, regexp_extract(fs, '[A-Z]+$', 0) AS unit_whole, regexp_extract(fs, '[A-Z]+$', 0) AS unit_scaled FROM f""",
-    "display_positions": "SELECT source AS project_id, doc_id AS page_index, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents WHERE doc_id % 7 <> 3",
+    "display_positions": "SELECT source AS project_id, doc_id AS page_index, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents",
     "cache_miss_work": f"""WITH {_EV}, h AS (SELECT substr(sha256('{{"settings":{{"preprocess":{{"binarizer":"sauvola","denoiseRadius":1,"deskew":true,"orientationDetect":true}},"render":{{"dpi":300}}}},"stage":"preprocess"}}'), 1, 16) AS hash)
 SELECT pg.project_id, pg.page_index, 'preprocess' AS stage, h.hash FROM pg, h
 WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.project_id = pg.project_id AND ps.page_index = pg.page_index AND ps.stage = 'preprocess' AND ps.seq % 5 > 0)""",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import TRIM, WS, error_rate, normalise_line, normalise_report, round_to, split_lines, tokens_report
 from ..functions.udfs import nfkc
 from ..operators import quality
-from ..runtime import table
+from ..operators.progress import display_positions
+from ..runtime import spread, table
 
 
 def plain(s: Column) -> Column:
@@ -31,16 +32,19 @@ def text_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against a passage of the benchmark."""
-    docs = table(spark, sf_dir, "documents").withColumn("item_id", F.pmod("doc_id", F.lit(40)))
-    rows = docs.join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("want")), "item_id")
+    """Every document against a passage of the benchmark, of which all are taken in turn."""
+    items = table(spark, sf_dir, "benchmark")
+    order = display_positions(items.select(F.lit("benchmark").alias("project_id"), F.col("item_id").alias("page_index")))
+    wanted = items.join(order.select(F.col("page_index").alias("item_id"), "position"), "item_id").select("position", F.col("text").alias("want"))
+    turn = F.pmod("doc_id", F.lit(items.count())).alias("position")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", turn)).join(wanted, "position")
     toks = lambda c: tokens_report(normalise_report(F.coalesce(c, F.lit(""))))
     return quality.token_overlap(rows.select("doc_id", toks("want").alias("expected"), toks("text").alias("actual")), ["doc_id"])
 
 
 def report_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts normalised for reports, with compatibility characters composed first."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", normalise_report(nfkc(F.coalesce("text", F.lit("")))).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", normalise_report(nfkc(F.coalesce("text", F.lit("")))).alias("t"))
     return docs.select("doc_id", F.length("t").alias("n_chars"), F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
 
 
@@ -107,7 +111,8 @@ WITH t AS (SELECT item_id, {_line("text")} AS e, {_line("regexp_replace(regexp_r
 d AS (SELECT item_id, e, levenshtein(e, a) AS n, CASE WHEN length(e) > 0 THEN levenshtein(e, a) / length(e) ELSE 0 END AS r FROM t)
 SELECT item_id, CAST(n AS INT) AS distance, floor(r * 10000 + 0.5) / 10000 AS cer, floor((1 - r) * 10000 + 0.5) / 10000 AS accuracy FROM d""",
     "token_overlap": f"""
-WITH p AS (SELECT doc_id, {_report("coalesce(b.text, '')")} AS e, {_report("coalesce(d.text, '')")} AS a FROM documents d JOIN benchmark b ON b.item_id = ((doc_id % 40) + 40) % 40),
+WITH p AS (SELECT doc_id, {_report("coalesce(b.text, '')")} AS e, {_report("coalesce(d.text, '')")} AS a FROM documents d 
+      JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark) b ON b.k = ((doc_id % n) + n) % n),
 x AS (SELECT doc_id, unnest(regexp_extract_all(e, '[a-z0-9'']+')) AS t, 1 AS e, 0 AS a FROM p
       UNION ALL SELECT doc_id, unnest(regexp_extract_all(a, '[a-z0-9'']+')) AS t, 0 AS e, 1 AS a FROM p),
 c AS (SELECT doc_id, t, sum(e) AS e, sum(a) AS a FROM x GROUP BY ALL),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 NOT_WS = "[^" + WS[1:]
 TRIM = rf"^{WS}+|{WS}+\z"
+_SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_OTHER_SPACES = _SPACES.replace(" ", "")
 
 
 def js_round(v: Column) -> Column:
@@ -22,7 +24,7 @@ def round_to(v: Column, places: int) -> Column:
 
 
 def js_trim(s: Column) -> Column:
-    return F.regexp_replace(s, TRIM, "")
+    return F.btrim(s, F.lit(_SPACES))
 
 
 def split_lines(s: Column) -> Column:
@@ -31,7 +33,7 @@ def split_lines(s: Column) -> Column:
 
 
 def split_words(s: Column) -> Column:
-    return F.filter(F.split(s, WS + "+"), lambda x: x != "")
+    return F.filter(F.split(F.translate(s, _OTHER_SPACES, " " * len(_OTHER_SPACES)), " "), lambda x: x != "")
 
 
 def normalise_report(s: Column) -> Column:
@@ -121,4 +123,5 @@ def data_url(mime: Column, content: Column) -> Column:
 
 def join_growing(lines: Column) -> Column:
     """Lines joined by newlines while leading empty ones vanish, as a text that is replaced while it is still empty."""
-    return F.aggregate(lines, F.lit(""), lambda acc, x: F.when(acc == "", x).otherwise(F.concat(acc, F.lit("\n"), x)))
+    first = F.array_position(F.transform(lines, lambda x: x != ""), True).cast("int")
+    return F.when(first > 0, F.array_join(F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines)), "\n")).otherwise("")

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
-from ..functions.text import NOT_WS, js_round, split_lines, split_words
+from ..functions.text import NOT_WS, js_round, js_trim, split_lines, split_words
 
 WORD_CONFIDENCE = 0.85
+# How much of the lower box's height two boxes of one line share, how far the next may begin before the
+# last ends and how far behind it, in pixels or in heights.
+SHARED_HEIGHT, MOST_BACK, MOST_GAP, GAP_HEIGHTS = 0.45, 8, 24, 1.2
 
 
 def box(x: Column, y: Column, width: Column, height: Column) -> Column:
@@ -35,6 +38,21 @@ def even_lines(text: Column, width: Column, height: Column, confidence: float =
     return let(split_lines(text), placed)
 
 
+def even_line_rows(pages: DataFrame, keep: list[str], text: Column, width: Column, height: Column) -> DataFrame:
+    """(.., line, text, bbox): the lines of ``even_lines`` as rows, without their words."""
+    lines = pages.select(*keep, split_lines(text).alias("lines")).select(*keep, F.size("lines").alias("n"), F.posexplode("lines").alias("line", "text"))
+    part = height / F.col("n")
+    bbox = box(F.lit(0), js_round(part * F.col("line")), width, F.greatest(F.lit(1), js_round(part)))
+    return lines.select(*keep, "line", "text", bbox.alias("bbox"))
+
+
+def even_words(pages: DataFrame, keep: list[str], text: Column, width: Column, height: Column, confidence: float = WORD_CONFIDENCE) -> DataFrame:
+    """(.., line, word, text, bbox, confidence): ``even_lines`` as a row for each word, whose box is made once for each line."""
+    lines = even_line_rows(pages, keep, text, width, height)
+    rows = lines.select(*keep, "line", "bbox", F.posexplode(split_words(F.col("text"))).alias("word", "text"))
+    return rows.select(*keep, "line", "word", "text", "bbox", F.lit(confidence).cast("double").alias("confidence"))
+
+
 def strip_markdown(text: Column) -> Column:
     """Without a leading or trailing code fence and without heading marks."""
     text = F.regexp_replace(text, r"\A```[a-zA-Z]*\n?", "")
@@ -139,7 +157,7 @@ def merge_line_boxes(boxes: Column) -> Column:
         )
         least = F.least(last["height"], b["height"])
         gap = b["x"] - (last["x"] + last["width"])
-        return (over > least * 0.45) & (gap >= -8) & (gap < F.greatest(F.lit(24.0), least * 1.2))
+        return (over > least * SHARED_HEIGHT) & (gap >= -MOST_BACK) & (gap < F.greatest(F.lit(float(MOST_GAP)), least * GAP_HEIGHTS))
 
     def step(acc: Column, b: Column) -> Column:
         n = F.size(acc)
@@ -153,6 +171,4 @@ def merge_line_boxes(boxes: Column) -> Column:
 
 def is_text_word(text: Column, confidence: Column) -> Column:
     """Words worth placing: not blank, not a doubtful fragment, not a guess."""
-    from ..functions.text import js_trim
-
     return ~((js_trim(text) == "") | ((F.length(text) < 2) & (confidence < 0.5)) | (confidence < 0.2))

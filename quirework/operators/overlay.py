@@ -15,6 +15,7 @@ HELVETICA = (
     556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
 )
 OTHER_WIDTH = 556  # of any other character, where a font table has none
+FONT_SHARE = 0.85  # fixed value: the font's size as a share of the box's height
 
 
 def text_width(text: Column, size: Column) -> Column:
@@ -29,20 +30,27 @@ def text_width(text: Column, size: Column) -> Column:
     return total * size / 1000.0
 
 
+def _by_turn(rotation: Column, upright, quarter, half, three) -> Column:
+    return F.when(rotation == 0, upright).when(rotation == 90, quarter).when(rotation == 180, half).otherwise(three)
+
+
 def placement(text: Column, bbox: Column, ocr_w: Column, ocr_h: Column, page_w: Column, page_h: Column, rotation: Column) -> Column:
-    """(x, y, size) in page coordinates, origin bottom left, before the page's rotation is shown."""
-    turned = rotation.isin(90, 270)
-    disp_w = F.when(turned, page_h).otherwise(page_w)
-    disp_h = F.when(turned, page_w).otherwise(page_h)
-    sx, sy = disp_w / ocr_w, disp_h / ocr_h
-    dx = bbox["x"] * sx
-    dy = disp_h - (bbox["y"] + bbox["height"]) * sy
-    size = F.greatest(F.lit(1.0), bbox["height"] * sy * 0.85)
-    room = bbox["width"] * sx
+    """(x, y, size) in page coordinates, origin bottom left, before the page's rotation is shown.
+
+    The reader sees the page turned; (across, up) is the word's corner there.
+    """
+    seen_w, seen_h = _by_turn(rotation, page_w, page_h, page_w, page_h), _by_turn(rotation, page_h, page_w, page_h, page_w)
+    per_x, per_y = seen_w / ocr_w, seen_h / ocr_h
+    across, up = bbox["x"] * per_x, seen_h - (bbox["y"] + bbox["height"]) * per_y
+    x = _by_turn(rotation, across, page_w - up, page_w - across, up)
+    y = _by_turn(rotation, up, across, page_h - up, page_h - across)
+    return F.struct(x.alias("x"), y.alias("y"), fitted_size(text, bbox["width"] * per_x, bbox["height"] * per_y).alias("size"))
+
+
+def fitted_size(text: Column, room: Column, height: Column) -> Column:
+    """The font's size for a box: by its height, smaller where the text would be wider than the box."""
+    size = F.greatest(F.lit(1.0), height * FONT_SHARE)
     # no word is wider than so many of the widest character; only those that might not fit are measured
     most = F.length(text) * (max(*HELVETICA, OTHER_WIDTH) / 1000.0) * size
     measured = F.when(most > room, text_width(text, size)).otherwise(0.0)
-    size = F.when((measured > room) & (measured > 0), size * room / measured).otherwise(size)
-    x = F.when(rotation == 0, dx).when(rotation == 90, page_w - dy).when(rotation == 180, page_w - dx).otherwise(dy)
-    y = F.when(rotation == 0, dy).when(rotation == 90, dx).when(rotation == 180, page_h - dy).otherwise(page_h - dx)
-    return F.struct(x.alias("x"), y.alias("y"), size.alias("size"))
+    return F.when((measured > room) & (measured > 0), size * room / measured).otherwise(size)

@@ -15,6 +15,7 @@ import numpy as np
 
 from . import kernels
 from .geometry import CLS_HEIGHT, CLS_WIDTH, DET_LIMIT, MAX_REGIONS, REC_HEIGHT, REC_WIDTH
+from .layout import GAP_HEIGHTS, MOST_BACK, MOST_GAP, SHARED_HEIGHT
 
 Box = tuple[int, int, int, int]
 Session = Callable[[np.ndarray], np.ndarray]
@@ -54,7 +55,7 @@ def joined_lines(boxes: list[Box]) -> list[Box]:
         if out:
             a, b, c, d = out[-1]
             low, gap = min(d, h), x - (a + c)
-            if min(b + d, y + h) - max(b, y) > 0.45 * low and -8 <= gap < max(24, 1.2 * low):
+            if min(b + d, y + h) - max(b, y) > SHARED_HEIGHT * low and -MOST_BACK <= gap < max(MOST_GAP, GAP_HEIGHTS * low):
                 left, top = min(a, x), min(b, y)
                 out[-1] = (left, top, max(a + c, x + w) - left, max(b + d, y + h) - top)
                 continue

@@ -127,13 +127,17 @@ def ink_rows(px: DataFrame, key: str, dark: int = 200) -> DataFrame:
     return px.groupBy(key, "y").agg(F.count_if(F.col("v") < dark).alias("ink"))
 
 
-def ink_runs(profile: DataFrame, key: str, least_ink: int, gap: int, least_rows: int) -> DataFrame:
-    """(key, start, end): runs of rows with enough ink, across gaps of at most ``gap`` rows."""
+def ink_runs(profile: DataFrame, key: str, least_ink: int, gap: int, least_rows: int, height: int) -> DataFrame:
+    """(key, start, end): runs of rows with enough ink, across gaps of at most ``gap`` rows.
+
+    A run that the gap to the bottom, row ``height`` - 1, does not close ends there.
+    """
     rows = profile.where(F.col("ink") >= least_ink)
     down = Window.partitionBy(key).orderBy("y")
     opens = F.coalesce(F.col("y") - F.lag("y").over(down) - 1 > gap, F.lit(True)).cast("int")
     run = F.sum("opens").over(down.rowsBetween(Window.unboundedPreceding, 0))
     runs = rows.withColumn("opens", opens).withColumn("run", run).groupBy(key, "run").agg(F.min("y").alias("start"), F.max("y").alias("end"))
+    runs = runs.withColumn("end", F.when(height - 1 - F.col("end") <= gap, height - 1).otherwise(F.col("end")))
     return runs.where(F.col("end") - F.col("start") + 1 >= least_rows).select(key, "start", "end")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,12 +17,17 @@ _SHIPPED: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A local folder is made only where the session names none, as in tests.
+    Where the session names none, a local folder is made if the driver is all
+    there is, as in tests; on a cluster that is an error.
     """
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirework-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        path = tempfile.mkdtemp(prefix="quirework-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -51,6 +57,12 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it lies in fewer partitions, as a small file does; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that starts with ``stem`` and clashes with none of ``df``'s."""
     taken = {c.lower() for c in df.columns}

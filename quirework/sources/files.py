@@ -6,17 +6,24 @@ import io
 import struct
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import project_id
+from ..operators import kernels
 from ..runtime import path_exists, ship_package
 
+DELETERS = 16
+
 # What is ingested, by extension.
 MIME = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
+ENTRY_BYTES = 1 << 30
 ENTRY = r"(?i)\.(pdf|jpe?g|png)$"
 
 
@@ -53,9 +60,10 @@ def is_ingestible(name: Column) -> Column:
 
 
 def zip_entries(archives: DataFrame) -> DataFrame:
-    """(path, name, mime, size_bytes, content): the pages and documents inside archives; other entries are left out.
+    """(path, name, mime, size_bytes, content, error): the pages and documents inside archives; other entries are left out.
 
-    ``archives``: path, content. A broken archive gives no entries. Its path is archive!entry.
+    ``archives``: path, content. A broken archive gives no entries. An entry's path
+    is archive!entry; one that is damaged, encrypted or over ENTRY_BYTES has no content, but an error.
     """
     ship_package(archives.sparkSession)
 
@@ -68,12 +76,51 @@ def zip_entries(archives: DataFrame) -> DataFrame:
                     continue
                 for e in held.infolist():
                     kind = e.filename.rsplit(".", 1)[-1].lower()
-                    if "." in e.filename and kind in MIME:
+                    if "." not in e.filename or kind not in MIME:
+                        continue
+                    body, error = None, None
+                    try:
+                        if e.file_size > ENTRY_BYTES:
+                            raise ValueError(f"larger than {ENTRY_BYTES} bytes")
                         body = held.read(e)
-                        row = (f"{path}!{e.filename}", e.filename.rsplit("/", 1)[-1], MIME[kind], len(body), body)
-                        yield pd.DataFrame([row], columns=["path", "name", "mime", "size_bytes", "content"])
+                    except Exception as x:  # noqa: BLE001  what zipfile and its decoders raise is the entry's error
+                        error = str(x) or type(x).__name__
+                    row = (f"{path}!{e.filename}", e.filename.rsplit("/", 1)[-1], MIME[kind], e.file_size, body, error)
+                    yield pd.DataFrame([row], columns=["path", "name", "mime", "size_bytes", "content", "error"])
+
+    return archives.select("path", "content").mapInPandas(run, "path string, name string, mime string, size_bytes long, content binary, error string")
+
+
+def photographs(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, width, height, payload, error): JPEG and PNG files as upright PNG pages.
+
+    Spark's image source decodes them in the JVM; each is turned and mirrored as
+    its EXIF orientation says. A file that is no image has nulls and an error.
+    """
+    ship_package(spark)
+    pixels = spark.read.format("image").load(list(paths)).select("image.*")
+    turns = binary_files(spark, *paths).select("path", exif_orientation_of("content").alias("orientation"))
+    name = F.element_at(F.split("origin", "/"), -1)
+    local = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  the two sources write local paths differently
+    rows = pixels.where(is_image_name(name)).join(turns, local("origin") == local("path")).select("path", "height", "width", "nChannels", "data", "orientation")
 
-    return archives.select("path", "content").mapInPandas(run, "path string, name string, mime string, size_bytes long, content binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for r in pdf.itertuples(index=False):
+                if r.height <= 0 or r.width <= 0:
+                    made.append((r.path, None, None, None, "not an image"))
+                    continue
+                raster = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, r.nChannels)
+                if r.nChannels == 1:
+                    raster = raster[:, :, 0]
+                else:  # blue first, as the source gives them
+                    raster = raster[:, :, [2, 1, 0, *range(3, r.nChannels)]]
+                page = kernels.upright(raster, int(r.orientation))
+                made.append((r.path, page.shape[1], page.shape[0], kernels.png_encode(page), None))
+            yield pd.DataFrame(made, columns=["path", "width", "height", "payload", "error"]).astype({"width": "Int32", "height": "Int32"})
+
+    return rows.mapInPandas(run, "path string, width int, height int, payload binary, error string")
 
 
 def ingest(files: DataFrame, settings: Column) -> DataFrame:
@@ -186,8 +233,14 @@ def write_artifacts(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 def delete_paths(spark: SparkSession, root: str, paths: DataFrame) -> int:
     """Delete the files that a rewind names (column path, below ``root``); one that is not there is no error. How many went."""
-    jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    for row in paths.select("path").toLocalIterator():
-        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{row.path}")
-        gone += bool(p.getFileSystem(conf).delete(p, True))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def delete(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{path}")
+        return bool(p.getFileSystem(conf).delete(p, True))
+
+    gone, rows = 0, paths.select("path").toLocalIterator(prefetchPartitions=True)
+    with ThreadPoolExecutor(DELETERS) as pool:  # only the JVM reaches any store; names are held by the thousand
+        while some := [r.path for r in islice(rows, 1000)]:
+            gone += sum(pool.map(delete, some))
     return gone

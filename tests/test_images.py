@@ -85,6 +85,41 @@ def test_regions_and_lines():
     assert K.region_lines(np.full((50, 50), 255, np.uint8), (0, 0, 50, 50)) == [(0, 0, 50, 50)]
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_components_against_a_flood_fill(seed):
+    rng = np.random.default_rng(seed)
+    bits = rng.random((rng.integers(1, 40), rng.integers(1, 40))) < rng.choice([0.3, 0.5, 0.7])
+    seen, want = np.zeros_like(bits), []
+    for y0, x0 in np.argwhere(bits):
+        if seen[y0, x0]:
+            continue
+        todo, part = [(y0, x0)], []
+        seen[y0, x0] = True
+        while todo:
+            y, x = todo.pop()
+            part.append((y, x))
+            for b, a in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if 0 <= b < bits.shape[0] and 0 <= a < bits.shape[1] and bits[b, a] and not seen[b, a]:
+                    seen[b, a] = True
+                    todo.append((b, a))
+        (top, left), (bottom, right) = np.min(part, axis=0), np.max(part, axis=0)
+        want.append((left, top, right - left + 1, bottom - top + 1))
+    assert K.component_list(bits) == want
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_median_against_numpy(radius):
+    image = np.random.default_rng(radius).integers(0, 256, (37, 53), dtype=np.uint8)
+    squares = np.lib.stride_tricks.sliding_window_view(np.pad(image, radius, mode="edge"), (2 * radius + 1,) * 2)
+    assert np.array_equal(K.median_blur(image, radius), np.median(squares, axis=(2, 3)).astype(np.uint8))
+
+
+@pytest.mark.parametrize("degrees", [-29.0, -20.0, 24.5])
+def test_skew_beyond_fifteen_degrees(degrees):
+    tilted = K.rotated(np.pad(page(), 120, constant_values=255), degrees)
+    assert abs(K.skew_degrees(tilted) + degrees) <= 0.5
+
+
 def test_components():
     bits = np.array([[1, 1, 0, 0], [0, 0, 0, 1], [1, 0, 0, 1]], np.uint8)
     assert K.component_list(bits) == [(0, 0, 2, 1), (3, 1, 1, 2), (0, 2, 1, 1)]
@@ -139,11 +174,51 @@ def test_files_and_zip(spark, tmp_path):
     inside = files.zip_entries(held.where("name = 'z.zip'").select("path", "content"))
     assert sorted((r.name, r.mime) for r in inside.collect()) == [("one.pdf", "application/pdf"), ("zero.pdf", "application/pdf")]
     assert files.zip_entries(held.where("name = 'note.txt'").select("path", "content")).count() == 0
-    from quirework.sources.zip_source import PageZip
 
-    spark.dataSource.register(PageZip)
-    assert spark.read.format("pagezip").load(str(tmp_path / "*.zip")).count() == 2
 
+def test_damaged_and_encrypted_entries_are_errors(spark):
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in ("good.pdf", "bad.pdf", "locked.png"):
+            z.writestr(name, bytes(range(256)) * 20)
+    data = bytearray(made.getvalue())
+    at = data.index(b"bad.pdf") + len("bad.pdf")
+    data[at + 5 : at + 25] = bytes(20)
+    entry = data.rindex(b"locked.png") - 46  # its row in the directory at the end
+    data[entry + 8] |= 1
+    first = data.index(b"locked.png") - 30
+    data[first + 6] |= 1
+    rows = spark.createDataFrame([("a.zip", data), ("b.zip", bytearray(b"no zip")), ("c.zip", None)], "path string, content binary")
+    got = {r.name: (r.content and len(r.content), r.error is None, r.size_bytes) for r in files.zip_entries(rows).collect()}
+    assert got == {"good.pdf": (5120, True, 5120), "bad.pdf": (None, False, 5120), "locked.png": (None, False, 5120)}
+
+
+@pytest.mark.parametrize("orientation", range(1, 9))
+def test_photographs_stand_upright(spark, tmp_path, orientation):
+    """JPEGs written by the JVM, with an EXIF orientation put in; read back turned and mirrored."""
+    from quirework.operators.geometry import ORIENTATIONS
+
+    image = np.zeros((16, 32), np.uint8)
+    image[:8, :8] = 255  # a white corner
+    jvm = spark._jvm
+    held = jvm.java.awt.image.BufferedImage(32, 16, 10)
+    for y in range(16):
+        for x in range(32):
+            held.setRGB(x, y, int(image[y, x]) * 0x010101)
+    plain = str(tmp_path / "plain.jpg")
+    jvm.javax.imageio.ImageIO.write(held, "jpg", jvm.java.io.File(plain))
+    data = open(plain, "rb").read()
+    (tmp_path / "photo.jpg").write_bytes(data[:2] + exif(orientation)[2:-2] + data[2:])
+    (tmp_path / "broken.jpeg").write_bytes(b"no image")
+    got = {r.path.rsplit("/", 1)[-1]: r for r in files.photographs(spark, str(tmp_path)).collect()}
+    assert got["broken.jpeg"].error and got["broken.jpeg"].payload is None
+    raster = K.grey(K.png_decode(bytes(got["photo.jpg"].payload)))
+    angle, flip_x, flip_y = ORIENTATIONS[orientation]
+    want = np.rot90(image, -angle // 90 % 4)
+    want = np.fliplr(want) if flip_x else want
+    want = np.flipud(want) if flip_y else want
+    assert raster.shape == want.shape == (got["photo.jpg"].height, got["photo.jpg"].width)
+    assert (raster.astype(int) > 128).tolist() == (want > 128).tolist()
 
 def test_missing_blobs(spark):
     rows = spark.createDataFrame([("p", "x/source.pdf")], "project_id string, source_path string")

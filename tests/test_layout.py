@@ -100,8 +100,38 @@ def test_documents_have_their_parts_in_order(spark):
         assert ids == ["page_1", "page_3"]
 
 
+def test_a_page_of_words_without_lines_is_one_line(spark):
+    df = spark.range(1).select(layout.even_lines(F.lit("one two"), F.lit(100), F.lit(60)).alias("lines"))
+    words = F.flatten(F.transform("lines", lambda ln: ln["words"]))
+    none = F.slice("lines", 1, 0)
+    made = exports.lines_or_page(none, F.lit("one two"), words, F.lit(100), F.lit(60))
+    r = df.select(exports.hocr_page(F.lit(0), F.lit(100), F.lit(60), made).alias("h"), exports.alto_page(F.lit(0), F.lit(100), F.lit(60), made).alias("a")).first()
+    assert r.h.count("ocr_line") == 1 and r.h.count("ocrx_word") == 2 and 'id="line_1_1" title="bbox 0 0 100 60"' in r.h
+    assert r.a.count("<TextLine") == 1 and r.a.count("<String") == 2
+    same = exports.lines_or_page(F.col("lines"), F.lit("x"), words, F.lit(100), F.lit(60))
+    assert df.select((same == F.col("lines")).alias("same")).first().same
+
+
+def test_join_growing(spark):
+    from quirework.functions.text import join_growing
+
+    cases = [["", "", "a", "", "b", ""], [], [""], ["x"], ["", "y"]]
+    df = spark.createDataFrame([(c,) for c in cases], "l array<string>")
+
+    def grown(parts):
+        acc = ""
+        for p in parts:
+            acc = p if acc == "" else acc + "\n" + p
+        return acc
+
+    assert [r.t for r in df.select(join_growing(F.col("l")).alias("t")).collect()] == [grown(c) for c in cases]
+
+
 def test_native_hocr(spark):
     h = "<html><div class='ocr_page' id='p9'><span class='ocr_line'>x</span></div></html>"
     got = spark.range(1).select(exports.native_block(F.lit(h), F.lit(4)).alias("a"), exports.native_block(F.lit("<div class='ocr_page'></div>"), F.lit(0)).alias("b")).first()
     assert got.a == "<div class='ocr_page' id=\"page_5\"><span class='ocr_line'>x</span></div>"
     assert got.b is None
+    more = """<p id="no"><DIV class='x'></DIV><div data-x="1" class="a ocr_page b" title='t'><i class='ocrx_word' id="w1">q</i></div><div class='ocr_page'></div>"""
+    got = spark.range(1).select(exports.native_block(F.lit(more), F.lit(0)).alias("a"), exports.native_block(F.lit("<div class='ocr_page'>ocr_line"), F.lit(0)).alias("b")).first()
+    assert got.a == """<div data-x="1" class="a ocr_page b" title='t'><i class='ocrx_word' id="page_1">q</i></div>""" and got.b is None
