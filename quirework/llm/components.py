@@ -10,13 +10,13 @@ from ..runtime import durable
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = durable(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -24,8 +24,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) for each node that has an edge to another; root: the component's least node.
 
-    Stars of the least neighbour are joined back to the edges, so no node's
-    neighbours are ever gathered; a node with very many is a skewed join only.
+    The least neighbours are written and joined back to the edges, so no node's
+    neighbours are ever gathered; a node with very many is a skewed join of two
+    tables, which Spark can split.
     Rounds grow with the logarithm of the number of nodes.
     """
     e = durable(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct())

@@ -10,7 +10,8 @@ All other pairs are compared whole, with numpy's exclusive-or and bit counts.
 Each pair of tiles returns a star for each of its linked groups, not the links,
 so a group of n near copies costs n rows for each pair of tiles. Components are
 found by distributed star contraction. What reaches the driver are the sizes of
-the cells (at most 33 x 33) and, from them, the tiles' ranges.
+the cells (at most 33 x 33) and, from them, the tiles' ranges; the pairs of
+tiles are made and chosen in executors.
 
 The comparison is quadratic in the number of distinct fingerprints; the tiles
 grow with it, up to ``TILE_MOST``, to hold down what is shuffled.
@@ -24,12 +25,13 @@ by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import col, durable, fresh, ship_package
@@ -174,18 +176,29 @@ def plan_tiles(cells: list[tuple[int, int, int]], size: int) -> tuple[list[tuple
     return placed, tiles
 
 
-def tile_pairs(tiles: list[tuple[int, int, int, int]], radius: int) -> list[tuple[int, int]]:
-    """Pairs of tiles whose population counts are not further apart than the radius."""
-    if not tiles:
-        return []
-    t = np.array(tiles)
-    found = []
-    for i in range(len(t)):
-        rest = t[i:]
-        low = np.maximum(0, np.maximum(rest[:, 0] - t[i, 1], t[i, 0] - rest[:, 1]))
-        high = np.maximum(0, np.maximum(rest[:, 2] - t[i, 3], t[i, 2] - rest[:, 3]))
-        found += [(i, i + int(j)) for j in np.flatnonzero(low + high <= radius)]
-    return found
+def tile_pairs(spark: SparkSession, tiles: list[tuple[int, int, int, int]], radius: int) -> DataFrame:
+    """(i, j), i <= j: pairs of tiles whose population counts are not further apart than the radius.
+
+    Tiles stand in the order of their low counts, so those near enough by these
+    are a run that starts with the tile itself.
+    """
+    names = "low_from", "low_to", "high_from", "high_to"
+    lows = [t[0] for t in tiles]
+    made = [(k, bisect_right(lows, t[1] + radius) - 1, *t) for k, t in enumerate(tiles)]
+    left = spark.createDataFrame(made, "i long, last long, " + ", ".join(f"{n} int" for n in names))
+    right = left.select(F.col("i").alias("j"), *(F.col(n).alias(f"{n}_j") for n in names))
+
+    def apart(side: str):
+        return F.greatest(
+            F.lit(0), F.col(f"{side}_from_j") - F.col(f"{side}_to"), F.col(f"{side}_from") - F.col(f"{side}_to_j")
+        )
+
+    return (
+        left.withColumn("j", F.explode(F.sequence("i", "last")))
+        .join(right, "j")
+        .where(apart("low") + apart("high") <= radius)
+        .select("i", "j")
+    )
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -197,22 +210,21 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     cells = [tuple(r) for r in counted.groupBy("low", "high").count().collect()]
     size = min(TILE_MOST, max(TILE_LEAST, sum(n for *_, n in cells) // TILES))
     placed, tiles = plan_tiles(cells, size)
-    pairs = tile_pairs(tiles, radius)
-    ends = [(k, t) for k, (i, j) in enumerate(pairs) for t in {i, j}]
+    pairs = durable(tile_pairs(spark, tiles, radius))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS_PER_TASK))
     # at most 33 x 33 rows
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     where = F.broadcast(spark.createDataFrame(placed, "low int, high int, first int, k int"))
     packed = durable(
         counted.join(where, ["low", "high"])
-        .groupBy((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("k"))).cast("int").alias("tile"))
+        .groupBy((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("k"))).alias("tile"))
         .agg(F.collect_list("fp").alias("fps"))
     )
     return (
-        spark.createDataFrame(ends, "pair int, tile int")
+        pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
         .join(packed, "tile")
         # by number, as pairs cost time rather than bytes and must not be put together by size
-        .repartition(max(tasks, -(-len(pairs) // PAIRS_PER_TASK)), "pair")
-        .groupBy("pair")
+        .repartition(tasks, "i", "j")
+        .groupBy("i", "j")
         .applyInArrow(_compare(radius), "u long, v long")
     )
 
@@ -224,10 +236,13 @@ def near_duplicates(
     rows = durable(fingerprints(docs, id_col, text_col, words))
     distinct = durable(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct, radius))
-    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+    rooted = durable(
+        distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+            "fp", "least", F.coalesce("root", "fp").alias("root")
+        )
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written first: the join then is one of two tables, which Spark can split where a component has many rows
+    least = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = durable(rooted.join(least, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

@@ -156,11 +156,16 @@ def test_tiles_lose_no_link(spark, monkeypatch):
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
-def test_tile_plan_skips_only_what_is_apart():
+def test_tile_plan_skips_only_what_is_apart(spark):
     cells = [(lo, hi, 50) for lo in range(10, 20) for hi in range(10, 20)]
     placed, tiles = S.plan_tiles(cells, 120)
     assert sum(k for *_, k in placed) >= len(cells)
-    pairs = set(S.tile_pairs(tiles, 4))
+    pairs = {tuple(r) for r in S.tile_pairs(spark, tiles, 4).collect()}
+    assert S.tile_pairs(spark, [], 4).count() == 0
+    near = lambda a, b, c, d: max(0, c - b, a - d)
+    for i, x in enumerate(tiles):
+        for j, y in enumerate(tiles[i:], i):
+            assert ((i, j) in pairs) == (near(*x[:2], *y[:2]) + near(*x[2:], *y[2:]) <= 4)
     where = {(lo, hi): range(f, f + k) for lo, hi, f, k in placed}
     for a, x in where.items():
         for b, y in where.items():
@@ -168,6 +173,21 @@ def test_tile_plan_skips_only_what_is_apart():
                 assert all((min(i, j), max(i, j)) in pairs for i in x for j in y)
 
 
+def test_components_of_a_large_star(spark):
+    edges = spark.range(1, 5000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    got = components(edges).agg(F.count("node"), F.countDistinct("node"), F.max("root")).first()
+    assert tuple(got) == (5000, 5000, 0)
+
+
+def test_copies_are_dealt_in_blocks(spark):
+    from quirework.llm.copies import dealt
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 10, "x"), ("c", 25, "y")], "k string, n long, qw_block string")
+    out = dealt(rows, "n", "copy", 10)
+    assert out.columns == [*rows.columns, "copy"]
+    assert sorted((r.k, r.copy) for r in out.collect()) == [(k, c) for k, n in (("a", 1), ("b", 10), ("c", 25)) for c in range(1, n + 1)]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
