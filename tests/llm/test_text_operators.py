@@ -93,15 +93,24 @@ def test_units_add_up(library):
     texts = HARD + ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(1500)]
     want = [len(library.encode(t, add_special_tokens=False)) for t in texts]
     assert of.count(texts) == want
+    for k in (1, 7, 10_000):
+        assert [n for j in range(0, len(texts), k) for n in of.count_array(pa.array(texts[j : j + k])).tolist()] == want
     assert all("".join(of.units(t)) == t for t in texts)
 
 
 def test_memo_is_bounded(library, monkeypatch):
-    monkeypatch.setattr(T, "MEMO_UNITS", 50)
+    monkeypatch.setattr(T, "MEMO_BYTES", 5000)
     of = T.TokenCounter(T.default_path())
-    texts = [f"w{k} v{k}" for k in range(40)]
-    assert [of.count([t])[0] for t in texts] == [len(library.encode(t)) for t in texts]
-    assert len(of.memo) <= 52
+    texts = [f"w{k} v{k} {'long' * k}" for k in range(400)]
+    assert [int(of.count_array(pa.array([t]))[0]) for t in texts] == [len(library.encode(t)) for t in texts]
+    assert of.held < 5000 + 4 * 2000 and len(of.memo) < 100
+
+
+def test_spaces_of_all_kinds_are_boundaries_or_not(library):
+    of = T.TokenCounter(T.default_path())
+    kinds = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    texts = [t for c in kinds for t in (f"a{c} b", f"a {c}b", f"a{c}b", f"{c}a b", f"a b{c}", f" {c}", f"a.{c} {c}b")]
+    assert of.count_array(pa.array(texts)).tolist() == [len(library.encode(t, add_special_tokens=False)) for t in texts]
 
 
 def test_token_counts(spark, odd, odd_rows, none, library):
