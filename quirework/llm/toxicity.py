@@ -5,52 +5,51 @@ model over word features and the probabilities of all earlier categories. In
 training, those come from out-of-fold models, so a later model learns from
 probabilities as good as it will see.
 
-The labels say only whether a document is toxic. The categories before the
-last are derived from that: a toxic document has a category if it holds one of
-the category's seed words, and ``other`` if it holds none of any; the last
-category, ``toxic``, is the label itself and decides.
+Categories are columns of the labels, a parameter: by default low quality, then
+toxic. The last one decides. A category whose column the labels lack is left
+out; a label that is null is unknown, and its document does not train that
+category's model.
 
 Features are words and their first four and five letters, so that stems with
-many endings count as one, chosen by their association with the label. The
-model is fitted on a bounded sample, ``TRAIN_ROWS`` labelled documents in the
-order of a hash of their id; every document is scored, in whole, without a
-shuffle.
+many endings count as one: all that at least LEAST_DOCS documents hold and whose
+association (G2) with some category reaches LEAST_ASSOCIATION; there is no cap
+on their number. The models are fitted on a bounded sample, ``TRAIN_ROWS``
+labelled documents in the order of a hash of their id, which also deals them to
+the folds; every document is scored, in whole, without a shuffle.
 
 Defined results: null and empty texts have no features. Null ids are kept,
-repeated rows each get their row; a repeated label counts as toxic if any of it
-does; null labels are ignored. With no labelled document, or one class only,
-every probability is the class's share, 0 without labels. Empty tables give
-empty results. Other columns are ignored by ``score`` and kept by ``drop_toxic``.
+repeated rows each get their row; a repeated label counts as a category's if any
+of it does; labels without the last category or an id are ignored. Of labelled
+rows that share an id the text with the least hash trains. With no labelled
+document, or one class only, every probability is the class's share, 0 without
+labels. Empty tables give empty results. A text column of another type is read
+as a string. Other columns are ignored by ``score`` and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..runtime import col, durable, ship_package
-from .words import trimmed
+from ..runtime import col, durable, fresh, ship_package
+from .words import Memo, coded, text_runs, trimmed
 
 TRAIN_ROWS = 10_000
-FEATURES = 256
 LEAST_DOCS = 4
+LEAST_ASSOCIATION = 10.83  # what one in a thousand features without any association reaches
 FOLDS = 3
 RIDGE = 0.1
 CUT = 0.5
-_MEMO_WORDS = 1 << 20
+_TEXT_BYTES = 4 << 20  # of text that are looked through at a time
 
-# Seed words of the derived categories.
-SEEDS = {
-    "insult": ("clown", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "scum"),
-    "degradation": ("disgusting", "filthy", "garbage", "pathetic", "stupid", "trash", "useless", "worthless"),
-}
-CATEGORIES = (*SEEDS, "other", "toxic")
+# (name, column of the labels, the value that means yes); the last decides
+CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -61,35 +60,37 @@ def features(word: str) -> tuple[str, ...]:
     return (w, *(f"{w[:n]}*" for n in (4, 5) if len(w) > n))
 
 
-class _Memo(dict):
-    def __init__(self, made):
-        self.made = made
+def feature_counts(texts: pa.Array, known: Callable[[str], tuple[int, ...]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, times) of every feature of every text; ``known``: a raw word's features, numbers below ``size``."""
+    raws, codes, lengths = coded(texts)
+    lists = [known(raw) for raw in raws]
+    counts = np.array([len(x) for x in lists], np.int64)
+    flat = np.array([i for x in lists for i in x], np.int64)
+    first = np.cumsum(counts) - counts
+    held = counts[codes] > 0
+    text, codes = np.repeat(np.arange(len(lengths)), lengths)[held], codes[held]
+    each = counts[codes]
+    at = flat[np.repeat(first[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+    key, times = np.unique(np.repeat(text, each) * size + at, return_counts=True)
+    return key // size, key % size, times
 
-    def __missing__(self, word: str):
-        if len(self) > _MEMO_WORDS:
-            self.clear()
-        self[word] = found = self.made(word)
-        return found
 
+def _sums(n_categories: int):
+    """(feature, for each category the documents that are of it, and those that are not) within the partition, now and then."""
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, toxic documents, clean documents) within the partition, now and then."""
-    memo = _Memo(features)
-    held: tuple[Counter, Counter] = (Counter(), Counter())
-
-    def out():
-        names = list(held[0].keys() | held[1].keys())
-        pos, neg = ([h[x] for x in names] for h in (held[1], held[0]))
-        for h in held:
-            h.clear()
-        return pa.RecordBatch.from_pydict({"f": pa.array(names, pa.string()), "pos": pa.array(pos, pa.int64()), "neg": pa.array(neg, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in text_runs(batch.column(0), _TEXT_BYTES):
+                labels = np.array([batch.column(1 + k).slice(at, len(texts)).fill_null(-1).to_numpy(zero_copy_only=False) for k in range(n_categories)])
+                at += len(texts)
+                ids: dict[str, int] = {}
+                text, f, _ = feature_counts(texts, lambda raw, ids=ids: tuple(ids.setdefault(x, len(ids)) for x in features(raw)), 1 << 32)
+                cols = [pa.array(np.bincount(f[y[text] == v], minlength=len(ids))) for y in labels for v in (1, 0)]
+                names = [f"{c}{k}" for k in range(n_categories) for c in ("pos", "neg")]
+                yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), *cols], ["f", *names])
 
-    for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            held[toxic].update({f for w in set((text.as_py() or "").split()) for f in memo[w]})
-            if len(held[0]) + len(held[1]) > _MEMO_WORDS // 2:
-                yield out()
-    yield out()
+    return run
 
 
 def association(pos: float, neg: float, all_pos: float, all_neg: float) -> float:
@@ -107,41 +108,93 @@ def association(pos: float, neg: float, all_pos: float, all_neg: float) -> float
     return 2 * g
 
 
-def _association_column(all_pos: int, all_neg: int):
+def _association_column(pos: Column, neg: Column, all_pos: int, all_neg: int) -> Column:
     n = float(all_pos + all_neg)
-    f = F.col("pos") + F.col("neg")
-    terms = [
-        (F.col("pos"), f, float(all_pos)),
-        (F.col("neg"), f, float(all_neg)),
-        (all_pos - F.col("pos"), n - f, float(all_pos)),
-        (all_neg - F.col("neg"), n - f, float(all_neg)),
-    ]
+    f = pos + neg
+    terms = [(pos, f, float(all_pos)), (neg, f, float(all_neg)), (all_pos - pos, n - f, float(all_pos)), (all_neg - neg, n - f, float(all_neg))]
     total = F.lit(0.0)
     for seen, a, c in terms:
         total = total + F.when(seen > 0, seen * F.log(seen * n / (a * c))).otherwise(0.0)
     return 2 * total
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12) -> np.ndarray:
-    """Weights, the bias last, of ridge logistic regression by Newton's method; the bias is not shrunk."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(x.shape[1])
-    rate = min(max(y.mean(), 1e-4), 1 - 1e-4)
-    w[-1] = math.log(rate / (1 - rate))
-    shrink = np.full(len(w), ridge)
+class Sparse:
+    """A matrix by its entries, with dense columns behind the sparse ones."""
+
+    def __init__(self, row: np.ndarray, at: np.ndarray, value: np.ndarray, shape: tuple[int, int], dense: np.ndarray | None = None):
+        self.row, self.at, self.value, (self.rows, self.columns) = row, at, value.astype(float), shape
+        self.dense = np.zeros((self.rows, 0)) if dense is None else dense
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Sparse:
+        row, at = np.nonzero(x)
+        return cls(row, at, x[row, at], x.shape)
+
+    @property
+    def width(self) -> int:
+        return self.columns + self.dense.shape[1]
+
+    def wider(self, column: np.ndarray) -> Sparse:
+        return Sparse(self.row, self.at, self.value, (self.rows, self.columns), np.hstack((self.dense, column[:, None])))
+
+    def of_rows(self, keep: np.ndarray) -> Sparse:
+        place = np.cumsum(keep) - 1
+        held = keep[self.row]
+        return Sparse(place[self.row[held]], self.at[held], self.value[held], (int(keep.sum()), self.columns), self.dense[keep])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.at], self.rows) + self.dense @ w[self.columns :]
+
+    def transposed_times(self, u: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.bincount(self.at, self.value * u[self.row], self.columns), self.dense.T @ u))
+
+
+def fit_logistic(x: Sparse, y: np.ndarray, ridge: float = RIDGE, rounds: int = 20, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights, the bias last, of ridge logistic regression; the bias is not shrunk.
+
+    Newton's method, whose steps are found by conjugate gradients, so nothing is
+    as large as the square of the number of features.
+    """
+    shrink = np.full(x.width + 1, ridge)
     shrink[-1] = 1e-6
+    if start is None:
+        w = np.zeros(x.width + 1)
+        rate = min(max(y.mean(), 1e-4), 1 - 1e-4)
+        w[-1] = math.log(rate / (1 - rate))
+    else:
+        w = start.copy()
+    back = lambda u: np.append(x.transposed_times(u), u.sum())
     for _ in range(rounds):
-        p = sigmoid(x @ w)
-        grad = x.T @ (p - y) + shrink * w
-        hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
-        hess[np.diag_indices(len(w))] += shrink
-        step = np.linalg.solve(hess, grad)
-        w -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-4:
+        p = sigmoid(x.times(w[:-1]) + w[-1])
+        grad = back(p - y) + shrink * w
+        d = np.maximum(p * (1 - p), 1e-6)
+        step, r = np.zeros(len(w)), grad.copy()
+        scale = 1 / (np.append(x_squares(x, d), d.sum()) + shrink)
+        z = scale * r
+        q, rz = z.copy(), r @ z
+        goal = 0.01 * math.sqrt(rz) if rz > 0 else 0.0
+        for _ in range(50):
+            if math.sqrt(max(0.0, rz)) <= goal:
+                break
+            hq = back(d * (x.times(q[:-1]) + q[-1])) + shrink * q
+            a = rz / (q @ hq)
+            step += a * q
+            r -= a * hq
+            z = scale * r
+            rz, before = r @ z, rz
+            q = z + rz / before * q
+        most = np.abs(step).max()
+        w -= step * min(1.0, 4.0 / max(1e-9, most))
+        if most < 1e-3:
             break
     return w
 
 
+def x_squares(x: Sparse, d: np.ndarray) -> np.ndarray:
+    """The sums of each column's squares, rows weighted by ``d``."""
+    return np.concatenate((np.bincount(x.at, x.value**2 * d[x.row], x.columns), (x.dense**2).T @ d))
+
+
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -149,41 +202,45 @@ def sigmoid(z):
 class Chain:
     """Linear models in sequence; model k sees the features and the k earlier probabilities."""
 
-    def __init__(self, names: list[str], weights: list[np.ndarray], categories=CATEGORIES):
+    def __init__(self, names: list[str], weights: list[np.ndarray], categories: tuple[str, ...]):
         self.names, self.weights, self.categories = names, weights, categories
         self.at = {f: i for i, f in enumerate(names)}
 
     @classmethod
-    def fit(cls, names: list[str], x: np.ndarray, labels: np.ndarray, folds: int = FOLDS, categories=CATEGORIES) -> Chain:
-        """``labels``: a column of 0 and 1 for each category."""
-        weights = []
-        seen = x
-        fold = np.arange(len(x)) % folds
+    def fit(cls, names: list[str], x: Sparse, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...]) -> Chain:
+        """``labels``: a column for each category, 1, 0 or, where it is unknown, -1; ``fold``: each row's."""
+        weights, seen = [], x
         for k in range(labels.shape[1]):
-            y = labels[:, k].astype(float)
-            weights.append(fit_logistic(seen, y) if 0 < y.sum() < len(y) else constant(seen.shape[1], y))
-            out = np.zeros(len(x))
-            for f in range(folds):
+            y = labels[:, k]
+            weights.append(_fitted(seen, y, y >= 0, None))
+            out = np.zeros(x.rows)
+            for f in np.unique(fold):
+                w = _fitted(seen, y, (y >= 0) & (fold != f), weights[-1])
                 mine = fold == f
-                if not mine.any():
-                    continue
-                yf = y[~mine]
-                w = fit_logistic(seen[~mine], yf) if len(yf) and 0 < yf.sum() < len(yf) else constant(seen.shape[1], yf)
-                out[mine] = sigmoid(seen[mine] @ w[:-1] + w[-1])
-            seen = np.hstack((seen, out[:, None]))
+                out[mine] = sigmoid(seen.of_rows(mine).times(w[:-1]) + w[-1])
+            seen = seen.wider(out)
         return cls(names, weights, categories)
 
-    def probabilities(self, counts: dict[int, int]) -> list[float]:
-        """Of every category, for one document's feature counts."""
-        hot = [(i, math.log1p(n)) for i, n in counts.items()]
-        found: list[float] = []
+    def probabilities(self, text: np.ndarray, at: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """(n, categories): of every category for each of ``n`` texts, from their features' counts."""
+        x = Sparse(text, at, np.log1p(times), (n, len(self.names)))
         for w in self.weights:
-            z = w[-1] + sum(w[i] * v for i, v in hot) + sum(w[len(self.names) + k] * p for k, p in enumerate(found))
-            found.append(1 / (1 + math.exp(-min(40.0, max(-40.0, z)))))
-        return found
+            x = x.wider(sigmoid(x.times(w[:-1]) + w[-1]))
+        return x.dense
+
+    def of_texts(self, texts: pa.Array, known: Memo) -> np.ndarray:
+        return self.probabilities(*feature_counts(texts, known.__getitem__, len(self.names) + 1), len(texts))
+
+    def known(self) -> Memo:
+        """The numbers of the features of raw words."""
+        return Memo(lambda word: tuple(self.at[f] for f in features(word) if f in self.at))
 
-    def memo(self) -> _Memo:
-        return _Memo(lambda word: tuple(self.at[f] for f in features(word) if f in self.at))
+
+def _fitted(x: Sparse, y: np.ndarray, use: np.ndarray, start: np.ndarray | None) -> np.ndarray:
+    some = y[use].astype(float)
+    if len(some) and 0 < some.sum() < len(some):
+        return fit_logistic(x.of_rows(use), some, start=start)
+    return constant(x.width, some)
 
 
 def constant(n: int, y: np.ndarray) -> np.ndarray:
@@ -193,27 +250,18 @@ def constant(n: int, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def counts_of(text: str | None, memo: _Memo) -> Counter:
-    held: Counter = Counter()
-    for found in filter(None, map(memo.__getitem__, (text or "").split())):
-        held.update(found)
-    return held
-
-
-def _category_labels(present: set[str], toxic: bool) -> list[int]:
-    seeded = [int(toxic and any(s in present for s in SEEDS[c])) for c in SEEDS]
-    return [*seeded, int(toxic and not any(seeded)), int(toxic)]
-
-
 def _counted(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Chain(names, []).memo()
+        known = Chain(names, [], ()).known()
         for batch in batches:
-            held = [counts_of(t.as_py(), memo) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([list(h) for h in held], pa.list_(pa.int32())), pa.array([list(h.values()) for h in held], pa.list_(pa.int32()))],
-                ["toxic", "at", "n"],
-            )
+            first = 0
+            for texts in text_runs(batch.column(0), _TEXT_BYTES):
+                text, at, times = feature_counts(texts, known.__getitem__, len(names) + 1)
+                ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (at, times)]
+                kept = [batch.column(k).slice(first, len(texts)) for k in range(1, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*kept, *lists], [*batch.schema.names[1:], "at", "n"])
+                first += len(texts)
 
     return run
 
@@ -224,53 +272,63 @@ def train(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    label_col: str = "toxic",
+    categories: tuple[tuple[str, str, object], ...] = CATEGORIES,
     train_rows: int = TRAIN_ROWS,
+    folds: int = FOLDS,
 ) -> Chain:
     """Fit a chain on at most ``train_rows`` labelled documents."""
     ship_package(docs.sparkSession)
+    used = [c for c in categories if c[1] in labels.columns]
+    names = tuple(c[0] for c in used)
+    of = lambda c: F.max((col(c[1]) == F.lit(c[2])).cast("int"))  # noqa: E731  null where all labels are
     wanted = (
-        labels.where(col(label_col).isNotNull() & col(id_col).isNotNull())
+        labels.where(col(used[-1][1]).isNotNull() & col(id_col).isNotNull())
         .groupBy(col(id_col).alias("id"))
-        .agg(F.max(col(label_col).cast("int")).alias("toxic"))
+        .agg(*(of(c).alias(f"y{k}") for k, c in enumerate(used)))
         .orderBy(F.xxhash64("id"), "id")
         .limit(train_rows)
     )
-    # at most train_rows narrow rows are broadcast; a repeated document is taken once
-    rows = (
+    ys = [f"y{k}" for k in range(len(used))]
+    # at most train_rows narrow rows are broadcast
+    rows = durable(
         docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
         .join(F.broadcast(durable(wanted)), "id")
-        .dropDuplicates(["id"])
-        .select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+        .groupBy("id", *ys)
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        .select("text", *ys, F.xxhash64("id").alias("order"), F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int").alias("fold"))
+    )
+    totals = rows.agg(*(f(F.col(y) == v) for y in ys for f, v in ((F.count_if, 1), (F.count_if, 0)))).first()
+    counts = [f"{c}{k}" for k in range(len(ys)) for c in ("pos", "neg")]
+    sums = (
+        rows.select("text", *ys)
+        .mapInArrow(_sums(len(ys)), "f string, " + ", ".join(f"{c} long" for c in counts))
+        .groupBy("f")
+        .agg(*(F.sum(c).alias(c) for c in counts))
     )
-    rows = durable(rows)
-    n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    sums = rows.mapInArrow(_sums, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    names = [
-        r[0]
-        for r in sums.where(F.col("pos") + F.col("neg") >= LEAST_DOCS)
-        .orderBy(_association_column(pos, n - pos).desc(), "f")
-        .limit(FEATURES)
-        .collect()
-    ]
-    seeds = [s for c in SEEDS.values() for s in c]
-    names += [s for s in seeds if s not in names]
-    drawn = rows.mapInArrow(_counted(names), "toxic int, at array<int>, n array<int>").collect()
-    x = np.zeros((len(drawn), len(names)))
-    y = np.zeros((len(drawn), len(CATEGORIES)), int)
-    for k, r in enumerate(drawn):
-        x[k, r["at"]] = np.log1p(r["n"])
-        y[k] = _category_labels({names[i] for i in r["at"]}, bool(r["toxic"]))
-    return Chain.fit(names, x, y)
+    pairs = [(F.col(f"pos{k}"), F.col(f"neg{k}"), totals[2 * k], totals[2 * k + 1]) for k in range(len(ys))]
+    best = F.greatest(F.lit(0.0), *(_association_column(*p) for p in pairs))
+    # the sample bounds the features, as it bounds the words
+    kept = sums.where((F.col("pos%d" % (len(ys) - 1)) + F.col("neg%d" % (len(ys) - 1)) >= LEAST_DOCS) & (best >= LEAST_ASSOCIATION))
+    found = [r[0] for r in kept.select("f").orderBy("f").collect()]
+    schema = ", ".join(f"{y} int" for y in ys) + ", order long, fold int, at array<int>, n array<int>"
+    drawn = sorted(rows.mapInArrow(_counted(found), schema).collect(), key=lambda r: r["order"])
+    y = np.array([[-1 if r[c] is None else r[c] for c in ys] for r in drawn]).reshape(len(drawn), len(ys))
+    row = np.repeat(np.arange(len(drawn)), [len(r["at"]) for r in drawn])
+    at, n = (np.array([v for r in drawn for v in r[c]], np.int64) for c in ("at", "n"))
+    x = Sparse(row, at, np.log1p(n), (len(drawn), len(found)))
+    return Chain.fit(found, x, y, np.array([r["fold"] for r in drawn], int), names)
 
 
 def _scored(model: Chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = model.memo()
+        known = model.known()
         for batch in batches:
-            p = [model.probabilities(counts_of(t.as_py(), memo)) for t in batch.column(1)]
-            cols = [pa.array([x[k] for x in p], pa.float64()) for k in range(len(model.categories))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", *(f"p_{c}" for c in model.categories)])
+            at = 0
+            for texts in text_runs(batch.column(1), _TEXT_BYTES):
+                p = model.of_texts(texts, known)
+                cols = [pa.array(p[:, k]) for k in range(len(model.categories))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *cols], ["id", *(f"p_{c}" for c in model.categories)])
+                at += len(texts)
 
     return run
 
@@ -287,10 +345,10 @@ def score(docs: DataFrame, model: Chain, *, id_col: str = "doc_id", text_col: st
 
 def _kept(model: Chain, at: int, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = model.memo()
+        known = model.known()
         for batch in batches:
-            stay = [model.probabilities(counts_of(t.as_py(), memo))[-1] < cut for t in batch.column(at)]
-            yield batch.filter(pa.array(stay, pa.bool_()))
+            stay = [model.of_texts(texts, known)[:, -1] < cut for texts in text_runs(batch.column(at), _TEXT_BYTES)]
+            yield batch.filter(pa.array(np.concatenate([*stay, np.zeros(0, bool)])))
 
     return run
 
@@ -298,4 +356,7 @@ def _kept(model: Chain, at: int, cut: float):
 def drop_toxic(docs: DataFrame, model: Chain, *, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of ``docs``, all columns, that the model does not reject; no shuffle."""
     ship_package(docs.sparkSession)
-    return docs.mapInArrow(_kept(model, docs.columns.index(text_col), cut), docs.schema)
+    if isinstance(docs.schema[text_col].dataType, StringType):
+        return docs.mapInArrow(_kept(model, docs.columns.index(text_col), cut), docs.schema)
+    held = docs.withColumn(fresh(docs, "qw_text"), col(text_col).cast("string"))
+    return held.mapInArrow(_kept(model, len(docs.columns), cut), held.schema).drop(held.columns[-1])

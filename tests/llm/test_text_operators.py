@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import decontamination as C
 from quirework.llm import secret_scan as S
@@ -264,25 +265,83 @@ def test_decontamination_odd(spark, odd, odd_rows, none):
 def test_logistic_is_at_its_optimum():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 4))
+    x[rng.random((300, 4)) < 0.4] = 0
     y = (rng.random(300) < X.sigmoid(x @ [2, -1, 0, 0.5] + 0.3)).astype(float)
-    w = X.fit_logistic(x, y, 0.5, 50)
-    grad = np.hstack((x, np.ones((300, 1)))).T @ (X.sigmoid(x @ w[:-1] + w[-1]) - y) + np.r_[np.full(4, 0.5), 1e-6] * w
-    assert np.abs(grad).max() < 1e-2
+    for held, dense in ((X.Sparse.of(x), x), (X.Sparse.of(x[:, :2]).wider(x[:, 2]).wider(x[:, 3]), x)):
+        w = X.fit_logistic(held, y, 0.5, 50)
+        grad = np.hstack((dense, np.ones((300, 1)))).T @ (X.sigmoid(dense @ w[:-1] + w[-1]) - y) + np.r_[np.full(4, 0.5), 1e-6] * w
+        assert np.abs(grad).max() < 2e-2
 
 
 def test_association_column_is_the_function(spark):
     rows = [(3, 0), (10, 20), (0, 5), (50, 50)]
-    df = spark.createDataFrame(rows, "pos long, neg long").select("pos", "neg", X._association_column(50, 100).alias("g"))
+    df = spark.createDataFrame(rows, "pos long, neg long").select("pos", "neg", X._association_column(F.col("pos"), F.col("neg"), 50, 100).alias("g"))
     for r in df.collect():
         assert abs(r.g - X.association(r.pos, r.neg, 50, 100)) < 1e-9
 
 
-def test_later_models_use_earlier_probabilities():
+def brute_logistic(x, y, ridge=X.RIDGE):
+    """Newton's method with the whole matrix of second derivatives, to the end."""
+    x = np.hstack((x, np.ones((len(x), 1))))
+    w, shrink = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (p - y) + shrink * w)
+        w -= step * min(1, 2 / np.abs(step).max())
+    return w
+
+
+def test_chain_against_brute_force():
+    """Three categories, unknown labels among them: each model on the features and the out-of-fold probabilities before it."""
     rng = np.random.default_rng(1)
-    x = rng.random((400, 3))
-    y = np.stack([x[:, 0] > 0.5, x[:, 0] > 0.5], axis=1).astype(int)
-    c = X.Chain.fit(["a", "b", "c"], x, y, categories=("one", "two"))
-    assert [len(w) for w in c.weights] == [4, 5] and c.weights[1][3] > 1
+    x = np.log1p(rng.poisson(0.7, (240, 5)))
+    noise = rng.random((240, 3))
+    y = np.stack([x[:, 0] + noise[:, 0] > 1, x[:, 0] - x[:, 1] + noise[:, 1] > 0.6, x[:, 2] + noise[:, 2] > 1.1], axis=1).astype(int)
+    y[::7, 1] = -1
+    fold = rng.integers(0, 3, 240)
+    names = ["a", "b", "c", "d", "e"]
+    got = X.Chain.fit(names, X.Sparse.of(x), y, fold, ("one", "two", "three"))
+    seen = x
+    for k in range(3):
+        use = y[:, k] >= 0
+        assert np.abs(got.weights[k] - brute_logistic(seen[use], y[use, k])).max() < 2e-2, k
+        out = np.zeros(240)
+        for f in range(3):
+            w = brute_logistic(seen[use & (fold != f)], y[use & (fold != f), k])
+            out[fold == f] = 1 / (1 + np.exp(-(seen[fold == f] @ w[:-1] + w[-1])))
+        seen = np.hstack((seen, out[:, None]))
+    assert [len(w) for w in got.weights] == [6, 7, 8]
+    # and scores text by text
+    texts = ["a A, b", None, "", "e e e c", "x y", "d " * 50]
+    made = got.of_texts(pa.array(texts), got.known())
+    for t, p in zip(texts, made, strict=True):
+        hot = np.log1p([sum(X.trimmed(w) == n for w in (t or "").split()) for n in names])
+        want = []
+        for w in got.weights:
+            want.append(1 / (1 + np.exp(-(np.r_[hot, want] @ w[:-1] + w[-1]))))
+        assert np.allclose(p, want)
+
+
+def test_feature_counts():
+    of = {"a": (0, 2), "b": (1,), "c": (2,)}
+    got = X.feature_counts(pa.array(["b a a", None, "c", "a z"]), lambda w: of.get(w, ()), 3)
+    assert list(zip(*(v.tolist() for v in got), strict=True)) == [(0, 0, 2), (0, 1, 1), (0, 2, 2), (2, 2, 1), (3, 0, 1), (3, 2, 1)]
+
+
+def test_training_does_not_depend_on_how_rows_lie(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.unionByName(docs.withColumn("text", F.lit("another text under the same id")))
+    one, two = X.train(docs, labels), X.train(docs.repartition(7), labels.repartition(3))
+    assert one.names == two.names and one.categories == ("low_quality", "toxic")
+    assert all(np.abs(a - b).max() < 1e-6 for a, b in zip(one.weights, two.weights, strict=True))
+
+
+def test_binary_text_of_toxic_documents(spark):
+    docs = spark.createDataFrame([(1, b"bad bad words"), (2, b"fine"), (3, None)], "doc_id long, text binary")
+    model = X.Chain(["bad"], [np.array([9.0, -4.0])], ("toxic",))
+    kept = X.drop_toxic(docs, model)
+    assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [2, 3]
 
 
 def test_held_out_accuracy(spark):
