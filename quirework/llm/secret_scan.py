@@ -54,6 +54,7 @@ BASE_RULES = (
 )
 
 _FOUND = "array<struct<start:bigint,kind_no:int,end:bigint>>"
+LEDGER = f"blob string, rule_version string, findings {_FOUND}"
 
 
 def rule_version(rules: tuple[Rule, ...]) -> str:
@@ -127,12 +128,12 @@ def scan(
     blobs = versions.select(_blob(text).alias("blob"), text.alias("text"))
     known = None
     if ledger_dir and path_exists(spark, ledger_dir):
-        known = spark.read.parquet(ledger_dir).where(F.col("rule_version") == version)
+        known = spark.read.schema(LEDGER).parquet(ledger_dir).where(F.col("rule_version") == version)
         blobs = blobs.join(known.select("blob").distinct(), "blob", "left_anti")
     new = scan_blobs(blobs.dropDuplicates(["blob"]), rules).select("blob", F.lit(version).alias("rule_version"), "findings")
     if ledger_dir:
         new.write.mode("append").parquet(ledger_dir)
-        ledger = spark.read.parquet(ledger_dir).where(F.col("rule_version") == version).dropDuplicates(["blob"])
+        ledger = spark.read.schema(LEDGER).parquet(ledger_dir).where(F.col("rule_version") == version).dropDuplicates(["blob"])
     else:
         ledger = durable(new)  # the join below then is one of two tables, which Spark can split where one blob has many paths
     paths = versions.select(*(col(c) for c in path_cols), _blob(text).alias(blob := _free("blob", path_cols)))

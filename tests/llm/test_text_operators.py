@@ -65,6 +65,24 @@ def test_ledger_scans_only_what_is_unseen(spark, tmp_path):
     assert got[100] == 1 and got[0] == 0 and spark.read.parquet(at).count() == 12
 
 
+def test_an_empty_ledger_folder_is_an_empty_ledger(spark, tmp_path):
+    (tmp_path / "ledger").mkdir()
+    docs = spark.createDataFrame([(1, TEXTS[0]), (2, None)], "doc_id long, text string")
+    assert [len(r.findings) for r in S.scan(docs, ledger_dir=str(tmp_path / "ledger")).orderBy("doc_id").collect()] == [len(brute_spans(TEXTS[0])), 0]
+
+
+def test_generations_of_versions_scan_each_blob_once(spark, tmp_path):
+    """A path's versions over three generations: only unseen blobs are added, and all paths have their findings."""
+    at, versions = str(tmp_path / "ledger"), []
+    for g in range(3):
+        versions += [(f"p{k}", g, TEXTS[(k + (k % 2) * g) % len(TEXTS)]) for k in range(6)]
+        docs = spark.createDataFrame(versions, "path string, version int, text string")
+        got = {(r.path, r.version): [(f.start, f.kind_no, f.end) for f in r.findings] for r in S.scan(docs, path_cols=("path", "version"), ledger_dir=at).collect()}
+        assert got == {(p, v): brute_spans(t) for p, v, t in versions}
+        ledger = [r.blob for r in spark.read.parquet(at).collect()]
+        assert len(ledger) == len(set(ledger)) == len({t or "" for _, _, t in versions})
+
+
 def test_many_spans_in_one_text(spark):
     t = " ".join("0123456789abcdef01234567" for _ in range(5000))
     r = S.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
