@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept. All but the last return the columns of documents.
+
+Defined results: null and blank texts are not toxic and hold no passage; they
+equal one another, so one of them stays, the one with the largest id. Null ids
+rank below all others; of near copies without any id all stay. Rows that share
+an id stay or go together among near copies. Ties are decided by id, as each
+operator's docstring says. An empty table passes every stage as one. Further
+columns, whatever their names, are kept until packing, which returns its own.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quirework.llm import decontamination, exact_dedup, packing, simhash, toxicity
-from quirework.runtime import table
+from quirework.runtime import spread, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
