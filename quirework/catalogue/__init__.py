@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exporting, geometry, layouts, pixels, progress, quality, sourcing
+from . import exporting, geometry, imaging, layouts, pixels, progress, quality, running, sourcing
 
-_PARTS = (layouts, geometry, exporting, quality, progress, pixels, sourcing)
+_PARTS = (layouts, geometry, exporting, quality, progress, running, pixels, imaging, sourcing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
