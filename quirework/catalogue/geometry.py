@@ -141,6 +141,20 @@ _RATIO = f"({geometry.DET_LIMIT}::DOUBLE / greatest({WIDTH}, {HEIGHT}))"
 _PAD = "floor(height * CAST(0.3 AS DOUBLE) + 0.5)"
 
 SQL = {
+    "merge_lines": """
+WITH RECURSIVE t AS (SELECT item_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM benchmark),
+e AS (SELECT item_id, ws, unnest(range(len(ws))) AS i FROM t),
+b AS (SELECT item_id, i, i % 6 * 120 AS x, i // 6 * 60 AS y, 100 + length(ws[i + 1]) % 3 * 9 AS w, 30 + length(ws[i + 1]) % 4 AS h FROM e),
+r AS (SELECT item_id, i, 0 AS line, x, y, w, h FROM b WHERE i = 0
+      UNION ALL
+      SELECT item_id, i, CASE WHEN same THEN line ELSE line + 1 END, CASE WHEN same THEN least(ax, bx) ELSE bx END, CASE WHEN same THEN least(ay, b_y) ELSE b_y END,
+             CASE WHEN same THEN greatest(ax + aw, bx + bw) - least(ax, bx) ELSE bw END, CASE WHEN same THEN greatest(ay + ah, b_y + bh) - least(ay, b_y) ELSE bh END
+      FROM (SELECT r.item_id, b.i, r.line, r.x AS ax, r.y AS ay, r.w AS aw, r.h AS ah, b.x AS bx, b.y AS b_y, b.w AS bw, b.h AS bh,
+                   greatest(0, least(r.y + r.h, b.y + b.h) - greatest(r.y, b.y)) > least(r.h, b.h) * 0.45
+                   AND b.x - (r.x + r.w) >= -8 AND b.x - (r.x + r.w) < greatest(24.0, least(r.h, b.h) * 1.2) AS same
+            FROM r JOIN b ON b.item_id = r.item_id AND b.i = r.i + 1))
+SELECT item_id, CAST(line AS INT) AS line, CAST(arg_max(x, i) AS INT) AS x, CAST(arg_max(y, i) AS INT) AS y, CAST(arg_max(w, i) AS INT) AS width, CAST(arg_max(h, i) AS INT) AS height
+FROM r GROUP BY item_id, line""",
     "region_filter": f"""WITH {_REGIONS} SELECT * FROM r
 WHERE CAST(width AS BIGINT) * height >= greatest(300.0, CAST({WIDTH} AS DOUBLE) * {HEIGHT} * 4e-6) AND width >= 20 AND height >= 12""",
     "region_coverage": f"""WITH {_REGIONS}

@@ -143,6 +143,13 @@ SELECT vec_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY x, 7 - y) AS t90, str
 WITH {_TILE}
 SELECT vec_id, 80 AS n, round(list_sum(list_transform(tile, lambda v: (v / 255.0::DOUBLE - 0.5::DOUBLE) / 0.5::DOUBLE)) + 16, 5) AS total,
        round(tile[1] * 0.299::DOUBLE + tile[2] * 0.587::DOUBLE + tile[3] * 0.114::DOUBLE, 6) AS luma FROM t""",
+    "tile_components": f"""
+WITH RECURSIVE {_TILE},
+ink AS (SELECT vec_id, y * 8 + x AS p FROM px WHERE v > 190),
+near AS (SELECT a.vec_id, a.p AS a, b.p AS b FROM ink a JOIN ink b ON b.vec_id = a.vec_id AND (abs(b.p - a.p) = 8 OR (abs(b.p - a.p) = 1 AND b.p // 8 = a.p // 8))),
+r AS (SELECT vec_id, p AS root, p FROM ink UNION SELECT r.vec_id, r.root, near.b FROM r JOIN near ON near.vec_id = r.vec_id AND near.a = r.p),
+m AS (SELECT vec_id, p, min(root) AS root FROM r GROUP BY ALL)
+SELECT vec_id, CAST(min(p % 8) AS INT) AS x, CAST(min(p // 8) AS INT) AS y, CAST(max(p % 8) - min(p % 8) + 1 AS INT) AS width, CAST(max(p // 8) - min(p // 8) + 1 AS INT) AS height FROM m GROUP BY vec_id, root""",
     "skew_median": """
 WITH a AS (SELECT vec_id, list_sort(list_filter(list_transform(embedding, lambda v: floor(CAST(v AS DOUBLE) * 1000) / 10), lambda x: abs(x) < 30)) AS a FROM embeddings)
 SELECT vec_id, CAST(len(a) AS INT) AS n, CASE WHEN len(a) > 0 THEN a[len(a) // 2 + 1] ELSE 0.0 END AS skew FROM a""",

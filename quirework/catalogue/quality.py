@@ -73,7 +73,7 @@ def worst_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's lines, words joined in fives, against themselves with letters confused and every third line lost."""
-    words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
+    words = F.filter(F.split(plain(F.col("text")), "\\s+"), lambda w: w != "")
     fives = F.transform(
         F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"))), lambda x: x["i"] % 5 == 0),
         lambda x: F.array_join(F.slice(words, x["i"] + 1, 5), " "),
@@ -137,6 +137,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY index) AS r1, r
 o AS (SELECT *, CASE WHEN r1 <= 5 THEN r1 WHEN r2 <= 8 THEN 100 + r2 WHEN r3 <= 8 THEN 200 + r3 END AS o FROM r),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY o) AS pick FROM o WHERE o IS NOT NULL)
 SELECT conv_id, index, accuracy, confidence FROM p WHERE pick <= 16""",
+    "report_normalised": f"""
+WITH t AS (SELECT doc_id, {_report("coalesce(text, '')")} AS t FROM documents) SELECT doc_id, CAST(length(t) AS INT) AS n_chars, sha256(t) AS text_sha256 FROM t""",
+    "aligned_lines": f"""
+WITH RECURSIVE w AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '\\s+'), lambda w: w <> '') AS ws FROM benchmark),
+e AS (SELECT item_id, list_transform(range(0, len(ws), 5), lambda i: array_to_string(ws[i + 1:i + 5], ' ')) AS ex FROM w),
+a AS (SELECT *, list_transform(list_filter(range(len(ex)), lambda i: i % 3 <> 1), lambda i: regexp_replace(regexp_replace(ex[i + 1], 'th', 'lh', 'g'), 'on ', 'or', 'g')) AS ac FROM e),
+n AS (SELECT item_id, ac, list_transform(ex, lambda s: {_line("s")}) AS en, list_transform(ac, lambda s: {_line("s")}) AS an FROM a),
+r AS (SELECT item_id, 0 AS k, 0 AS upto, CAST(NULL AS BIGINT) AS best FROM n
+      UNION ALL
+      SELECT item_id, k + 1, CASE WHEN i >= 0 THEN i + 1 ELSE upto END, i FROM (
+        SELECT item_id, k, upto, CASE WHEN upto < len(en) THEN upto + list_position(s, list_max(s)) - 1 ELSE len(en) - 1 END AS i FROM (
+          SELECT r.item_id, r.k, r.upto, n.en, list_transform(n.en[r.upto + 1:r.upto + 8], lambda x:
+                   CASE WHEN length(x) > 0 THEN 1 - levenshtein(x, n.an[r.k + 1]) / length(x) WHEN length(n.an[r.k + 1]) > 0 THEN 0 ELSE 1 END) AS s
+          FROM r JOIN n ON n.item_id = r.item_id WHERE r.k < len(n.an))))
+SELECT r.item_id, CAST(r.k - 1 AS INT) AS line, CAST(best AS INT) AS baseline, n.ac[r.k] AS text FROM r JOIN n ON n.item_id = r.item_id WHERE r.k > 0""",
     "mean_confidence": """
 SELECT conv_id, round(coalesce(avg(CASE WHEN role = 'user' THEN (length(text) % 100) / 100.0::DOUBLE END), 0), 6) AS mean_confidence, count(text) AS n FROM conversations GROUP BY conv_id""",
 }
