@@ -37,11 +37,11 @@ def failures(stream: DataFrame) -> DataFrame:
     """In update mode: each project's failures to show, newest first, as a list.
 
     One for each stage and page, the newest; at most SHOWN; none once the
-    project is built. The state of a project is that short list, but for the
-    failures that newer ones displaced, which do not come back.
+    project is built, and not those that an event of status dismissed takes away.
+    The state of a project is that short list: failures that newer ones displaced do not come back.
     """
     ship_package(stream.sparkSession)
-    wanted = stream.where((F.col("status") == "failed") | ((F.col("stage") == "build") & (F.col("status") == "done")))
+    wanted = stream.where(F.col("status").isin("failed", "dismissed") | ((F.col("stage") == "build") & (F.col("status") == "done")))
     return wanted.groupBy("project_id").applyInPandasWithState(
         _fold,
         "project_id string, failures array<struct<stage:string,page_index:long,error:string,seq:long>>",
@@ -60,6 +60,8 @@ def fold_failures(held: list[tuple], built: bool, rows: list[tuple], shown: int
             built = False
             rest = [h for h in held if (h[0], h[1]) != (stage, page)]
             held = [(stage, page, error or "unknown error", seq), *rest][:shown]
+        elif status == "dismissed":
+            held = [h for h in held if (h[0], h[1]) != (stage, page)]
     return held, built
 
 

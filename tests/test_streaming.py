@@ -44,6 +44,13 @@ def test_failures_end_as_the_batch(spark, tmp_path):
     assert seen == want
 
 
+def test_a_failure_can_be_dismissed():
+    rows = [("ocr", p, "failed", f"e{p}", p) for p in range(1, 5)]
+    held, built = S.fold_failures([], False, [*rows, ("ocr", 3, "dismissed", None, 9), ("ocr", 7, "dismissed", None, 10)])
+    assert [h[1] for h in held] == [4, 2] and not built
+    assert [h[1] for h in S.fold_failures(held, built, [("ocr", 3, "failed", "again", 11)])[0]] == [3, 4, 2]
+
+
 def test_build_clears_failures():
     held, built = S.fold_failures([], False, [("ocr", 1, "failed", "a", 1), ("ocr", 1, "failed", None, 2)])
     assert held == [("ocr", 1, "unknown error", 2)] and not built
