@@ -11,15 +11,16 @@ log-probabilities of its tokens.
   such a word counts by the id it shares.
 * Ids: texts are split once, into 16-bit ids that are written and that all later
   steps read; with them what the spelling of each document's rare words costs.
-* Network: each window position has its own embedding table; their sum, through
-  softsign, predicts the token's class (id // CLASS), and, shifted by the class's
-  own vector, the token within the class. The vocabulary costs 2 x 64 outputs, not 4,096.
+* Network: the embeddings of the tokens around, each scaled by a vector of its
+  place in the window, are added up; their sum, through softsign, predicts the
+  token's class (id // CLASS), and, shifted by the class's own vector, the token
+  within the class. The vocabulary costs 2 x 64 outputs, not 4,096.
 * Start: the exact counts of the ids over all documents, so what is learned is how
   context moves a token's probability away from its share of the corpus.
-* Training: in each round every partition takes the same start, masks each
-  ``rounds``-th token of each of its documents, another offset each round, and
+* Training: in each round every partition takes the same start, predicts the
+  tokens of each ``rounds``-th batch of its documents, others each round, and
   descends; so every token is a target once. The parameters are then averaged
-  over the partitions, weighted by the masked tokens, in blocks and in two steps,
+  over the partitions, weighted by their targets, in blocks and in two steps,
   so that no task gathers more than the square root of the number of partitions.
   What is shuffled grows with the corpus; what reaches the driver, the averaged
   network, does not.
@@ -38,6 +39,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,14 +59,13 @@ HIDDEN = 32
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.2
-_FIRST = 1e-5  # AdaGrad's sums of squares at the start
+_FIRST = 1e-6  # AdaGrad's sums of squares at the start
 BLOCK = 4096
 _FLUSH = 500_000
 _TEXT_BYTES = 8 << 20  # of text that are split at a time
 _TOKENS = 1 << 20  # that are laid out at a time
-_MEMO_BYTES = 32 << 20
 PAD = VOCABULARY  # the id beyond either end of a document
-_ROWS = VOCABULARY + 1
+_PLACES = (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))  # where a token's context begins in the line around it
 
 
 def word_of(raw: str) -> str:
@@ -76,32 +77,17 @@ class Vocabulary:
     """Raw words to ids, and to what their spelling costs; ``words``: the frequent ones, most frequent first."""
 
     def __init__(self, words: list[str], speller: spelling.Speller | None = None):
-        self.frequent, self.speller = {w: i for i, w in enumerate(words)}, speller
-        self.memo: dict[str, tuple[int, float]] = {}
-        self.held = 0
+        self.frequent, self.speller = {w: i for i, w in enumerate(words)}, speller or spelling.Speller.flat(HASHED)
 
     def look_up(self, raws: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of ``raws``, and log P(word | its id): 0 for the frequent ones."""
-        if self.held > _MEMO_BYTES:
-            self.memo.clear()
-            self.held = 0
-        memo = self.memo
-        new = [raw for raw in raws if raw not in memo]
-        rare, names = [], []
-        for raw in new:
-            w = word_of(raw)
-            at = self.frequent.get(w)
-            if at is None:
-                rare.append(raw)
-                names.append(w)
-            else:
-                memo[raw] = (at, 0.0)
-            self.held += len(raw) + 150
-        cost = self.speller.in_bucket(names) if self.speller else [0.0] * len(rare)
-        for raw, w, c in zip(rare, names, cost, strict=True):
-            memo[raw] = (VOCABULARY - HASHED + spelling.bucket_of(w, HASHED), c)
-        found = [memo[raw] for raw in raws]
-        return np.array([f[0] for f in found], np.int16), np.array([f[1] for f in found], np.float64)
+        names = list(map(word_of, raws))
+        ids = np.fromiter(map(self.frequent.get, names, repeat(-1)), np.int64, len(names))
+        cost = np.zeros(len(names))
+        rare = np.flatnonzero(ids < 0)
+        cost[rare], bucket = self.speller.in_bucket([names[k] for k in rare.tolist()])
+        ids[rare] = VOCABULARY - HASHED + bucket
+        return ids.astype(np.int16), cost
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.look_up((text or "").split())[0]
@@ -113,7 +99,8 @@ class WindowNetwork:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         shape = {
-            "e": (2 * SIDE * _ROWS, HIDDEN),  # a table for each position of the window, one below the other
+            "e": (VOCABULARY + 1, HIDDEN),
+            "s": (2 * SIDE, HIDDEN),
             "b": (HIDDEN,),
             "wc": (HIDDEN, CLASS),
             "bc": (CLASS,),
@@ -122,7 +109,9 @@ class WindowNetwork:
         }
         self.prior = np.zeros((CLASS, CLASS), np.float32)
         self.p = {k: (rng.standard_normal(s) * 0.1 if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
-        self.g2 = {k: np.full(v.shape, _FIRST, np.float32) for k, v in self.p.items()}
+        self.p["s"] += 1
+        # one sum of squares for each row of the sparse tables, one for each of the other parameters
+        self.g2 = {k: np.full(len(v) if k in "ec" else v.shape, _FIRST, np.float32) for k, v in self.p.items()}
 
     def start(self, counts: np.ndarray) -> WindowNetwork:
         """Lets the network begin as the distribution of ``counts``, by id, from which context moves it."""
@@ -141,43 +130,55 @@ class WindowNetwork:
             at += v.size
         return self
 
-    def forward(self, context: np.ndarray, target: np.ndarray):
-        """log-probabilities of ``target`` (n) given ``context`` (n, 2 SIDE), and what a step needs."""
-        p = self.p
-        rows = context + np.arange(2 * SIDE) * _ROWS
-        z = p["b"] + p["e"].take(rows[:, 0], axis=0)
-        for k in range(1, 2 * SIDE):
-            z += p["e"].take(rows[:, k], axis=0)
+    def forward(self, line: np.ndarray):
+        """log-probabilities of the tokens of ``line`` but SIDE at either end, 0 for PADs; and what a step needs."""
+        p, n = self.p, len(line) - 2 * SIDE
+        target = line[SIDE : SIDE + n]
+        real = target != PAD
+        x = p["e"].take(line, axis=0)
+        z = np.tile(p["b"], (n, 1))
+        for k, at in enumerate(_PLACES):
+            z += x[at : at + n] * p["s"][k]
         h = _softsign(z)
-        cls, member = np.divmod(target, CLASS)
+        cls, member = np.divmod(np.where(real, target, 0), CLASS)
         lc, ec = _log_softmax_at(h @ p["wc"] + p["bc"], cls)
         z += p["c"].take(cls, axis=0)
         h2 = _softsign(z)
         lm, em = _log_softmax_at(h2 @ p["wm"] + self.prior.take(cls, axis=0), member)
-        return lc + lm, (rows, h, h2, ec, em, cls, member)
-
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> float:
-        """One AdaGrad step on the mean loss; returns it."""
-        p, n = self.p, len(target)
-        logp, (rows, h, h2, dc, dm, cls, member) = self.forward(context, target)
-        each = np.arange(n)
-        dc /= dc.sum(axis=1, keepdims=True)
-        dm /= dm.sum(axis=1, keepdims=True)
-        dc[each, cls] -= 1
-        dm[each, member] -= 1
+        return np.where(real, lc + lm, 0), (x, h, h2, ec, em, cls, member, real)
+
+    def step(self, line: np.ndarray, rate: float = RATE) -> float:
+        """One AdaGrad step on the mean loss over the tokens that ``forward`` predicts; returns it."""
+        p = self.p
+        logp, (x, h, h2, (dc, of_c), (dm, of_m), cls, member, real) = self.forward(line)
+        each, n = np.arange(len(real)), max(1, int(real.sum()))
+        weight = (real / np.float32(n)).astype(dc.dtype)
+        dc *= (weight / of_c)[:, None]
+        dm *= (weight / of_m)[:, None]
+        dc[each, cls] -= weight
+        dm[each, member] -= weight
         dz2 = (dm @ p["wm"].T) * _softsign_slope(h2)
         dz = (dc @ p["wc"].T) * _softsign_slope(h) + dz2
-        for k, g in (("wc", h.T @ dc), ("bc", dc.sum(0)), ("wm", h2.T @ dm), ("b", dz.sum(0))):
-            self._move(k, slice(None), g / n, rate)
-        dz2 /= n
-        dz /= n
-        self._move("c", *_row_sums(cls, dz2, 1), rate)
-        self._move("e", *_row_sums(rows.ravel(), dz, 2 * SIDE), rate)
-        return float(-logp.mean())
-
-    def _move(self, k: str, at, g: np.ndarray, rate: float) -> None:
-        self.g2[k][at] += g * g
-        self.p[k][at] -= rate * g / np.sqrt(self.g2[k][at])
+        dx = np.zeros_like(x)
+        ds = np.empty_like(p["s"])
+        for k, at in enumerate(_PLACES):
+            ds[k] = np.einsum("ij,ij->j", dz, x[at : at + len(dz)])
+            dx[at : at + len(dz)] += dz * p["s"][k]
+        for k, g in (("wc", h.T @ dc), ("bc", dc.sum(0)), ("wm", h2.T @ dm), ("b", dz.sum(0)), ("s", ds)):
+            self._move(k, g, rate)
+        self._move_rows("c", *_row_sums(cls, dz2), rate)
+        self._move_rows("e", *_row_sums(line, dx), rate)
+        return float(-logp.sum() / n)
+
+    def _move(self, k: str, g: np.ndarray, rate: float) -> None:
+        self.g2[k] += g * g
+        self.p[k] -= rate * g / np.sqrt(self.g2[k])
+
+    def _move_rows(self, k: str, at: np.ndarray, g: np.ndarray, rate: float) -> None:
+        squares = self.g2[k][at] + np.einsum("ij,ij->i", g, g) / HIDDEN
+        self.g2[k][at] = squares
+        g *= (rate / np.sqrt(squares))[:, None]
+        self.p[k][at] -= g
 
 
 def _softsign(z: np.ndarray) -> np.ndarray:
@@ -188,21 +189,22 @@ def _softsign_slope(h: np.ndarray) -> np.ndarray:
     return (1 - np.abs(h)) ** 2
 
 
-def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log-probability of one entry of each row of scores, and the rows' exponentials, in place of ``x``."""
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The log-probability of one entry of each row of scores; the rows' exponentials, in place of ``x``, and their sums."""
     if np.abs(x).max() > 60:  # beyond this, sums could leave the range of single precision
         x -= x.max(axis=1, keepdims=True)
     chosen = x[np.arange(len(at)), at]
     e = np.exp(x, out=x)
-    return chosen - np.log(e @ np.ones(CLASS, e.dtype)), e
+    sums = e @ np.ones(CLASS, e.dtype)
+    return chosen - np.log(sums), (e, sums)
 
 
-def _row_sums(at: np.ndarray, g: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct entries of ``at`` and, for each, the sum of its rows of ``g``; each row stands for ``each`` entries."""
-    order = np.argsort(at.astype(np.int16), kind="stable")  # rows fit, and short numbers are sorted by radix
-    at = at[order]
+def _row_sums(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries of ``at`` and, for each, the sum of its rows of ``g``."""
+    order = np.argsort(at.astype(np.int16), kind="stable")  # ids fit, and short numbers are sorted by radix
+    at = at.take(order)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], np.add.reduceat(g[order // each], first, axis=0)
+    return at[first].astype(np.int64), np.add.reduceat(g.take(order, axis=0), first, axis=0)
 
 
 def windows(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,28 +215,21 @@ def windows(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return line, at
 
 
-def contexts(line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return line[at[:, None] + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])]
+def batches_of(line: np.ndarray) -> Iterator[np.ndarray]:
+    """``line`` in parts of ``BATCH`` tokens, with the ``SIDE`` at either end of each that are only context."""
+    for k in range(0, len(line) - 2 * SIDE, BATCH):
+        yield line[k : k + BATCH + 2 * SIDE]
 
 
 def log_probabilities(net: WindowNetwork, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pseudo-log-likelihood of each document; ``ids``: those of all documents, one after the other."""
     line, at = windows(ids, lengths)
-    sums = np.zeros(len(at) + 1)
-    for k in range(0, len(at), BATCH):
-        a = at[k : k + BATCH]
-        sums[k + 1 : k + 1 + len(a)] = net.forward(contexts(line, a), line[a])[0]
-    np.cumsum(sums, out=sums)
+    each = [net.forward(part)[0] for part in batches_of(line)]
+    sums = np.concatenate(([0.0], np.cumsum(np.concatenate(each)[at - SIDE], dtype=np.float64))) if len(at) else np.zeros(1)
     ends = np.cumsum(lengths)
     return sums[ends] - sums[ends - lengths]
 
 
-def masked(ids: np.ndarray, lengths: np.ndarray, offset: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """The row of ids, and the positions of each document's tokens ``offset``, ``offset + stride``, ..."""
-    line, at = windows(ids, lengths)
-    return line, at[(np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) % stride == offset]
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
@@ -361,14 +356,12 @@ def _documents(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def learn(net: WindowNetwork, column: pa.Array, offset: int, stride: int) -> int:
-    """Steps of ``BATCH`` targets over the documents in ``column``; how many targets there were."""
+    """A step on each ``stride``-th batch of the documents in ``column``, from ``offset`` on; how many targets there were."""
     seen = 0
     for ids, lengths in _documents(column):
-        line, at = masked(ids, lengths, offset, stride)
-        for k in range(0, len(at), BATCH):
-            a = at[k : k + BATCH]
-            net.step(contexts(line, a), line[a])
-        seen += len(at)
+        for part in islice(batches_of(windows(ids, lengths)[0]), offset, None, stride):
+            net.step(part)
+            seen += int((part[SIDE:-SIDE] != PAD).sum())
     return seen
 
 

@@ -41,7 +41,7 @@ def _buckets_after(a: int, buckets: int) -> np.ndarray:
 
 
 def _line(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(b"\xfe\xfe" + w + b"\xff" for w in words), np.uint8).astype(np.int64)
+    return np.frombuffer(b"\xfe\xfe" + b"\xff\xfe\xfe".join(words) + b"\xff", np.uint8).astype(np.int64)
 
 
 def trigrams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +123,15 @@ class Speller:
         p, at = self._spelled(known)
         return np.maximum(shares - np.bincount(at, np.exp(p), self.buckets), shares * 1e-6)
 
-    def in_bucket(self, words: list[str]) -> list[float]:
-        """log P(word | its bucket) of each word."""
+    @classmethod
+    def flat(cls, buckets: int) -> Speller:
+        """One that knows of no word."""
+        return cls(np.zeros(0, np.int64), np.zeros(0), (), buckets)
+
+    def in_bucket(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | its bucket) of each word, and its bucket."""
         p, at = self._spelled(words)
-        return (p - self.log_share[at]).tolist()
+        return p - self.log_share[at], at
 
 
 def _mixed(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
