@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..runtime import col, durable, fresh, ship_package
-from .words import Memo, coded, text_runs, trimmed
+from .words import coded, text_runs, trimmed
 
 TRAIN_ROWS = 10_000
 LEAST_DOCS = 4
-LEAST_ASSOCIATION = 10.83  # what one in a thousand features without any association reaches
+LEAST_ASSOCIATION = 23.93  # what one in a million features without any association reaches
 FOLDS = 3
 RIDGE = 0.1
 CUT = 0.5
+_NONE = (None, None, None)
 _TEXT_BYTES = 4 << 20  # of text that are looked through at a time
 
 # (name, column of the labels, the value that means yes); the last decides
@@ -63,9 +65,10 @@ def features(word: str) -> tuple[str, ...]:
 def feature_counts(texts: pa.Array, known: Callable[[str], tuple[int, ...]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, feature, times) of every feature of every text; ``known``: a raw word's features, numbers below ``size``."""
     raws, codes, lengths = coded(texts)
-    lists = [known(raw) for raw in raws]
-    counts = np.array([len(x) for x in lists], np.int64)
-    flat = np.array([i for x in lists for i in x], np.int64)
+    some = [(k, found) for k, found in enumerate(map(known, raws)) if found]
+    counts = np.zeros(len(raws), np.int64)
+    counts[[k for k, _ in some]] = [len(found) for _, found in some]
+    flat = np.array([i for _, found in some for i in found], np.int64)
     first = np.cumsum(counts) - counts
     held = counts[codes] > 0
     text, codes = np.repeat(np.arange(len(lengths)), lengths)[held], codes[held]
@@ -122,6 +125,7 @@ class Sparse:
     """A matrix by its entries, with dense columns behind the sparse ones."""
 
     def __init__(self, row: np.ndarray, at: np.ndarray, value: np.ndarray, shape: tuple[int, int], dense: np.ndarray | None = None):
+        """``row`` must rise."""
         self.row, self.at, self.value, (self.rows, self.columns) = row, at, value.astype(float), shape
         self.dense = np.zeros((self.rows, 0)) if dense is None else dense
 
@@ -142,18 +146,43 @@ class Sparse:
         held = keep[self.row]
         return Sparse(place[self.row[held]], self.at[held], self.value[held], (int(keep.sum()), self.columns), self.dense[keep])
 
+    @cached_property
+    def by_row(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that have entries, and where those begin."""
+        return _begins(self.row)
+
+    @cached_property
+    def by_column(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows and values in the order of the columns, the columns that have entries, and where those begin."""
+        order = np.argsort(self.at, kind="stable")
+        return self.row[order], self.value[order], *_begins(self.at[order])
+
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.at], self.rows) + self.dense @ w[self.columns :]
+        out = np.zeros(self.rows)
+        rows, first = self.by_row
+        if len(rows):
+            out[rows] = np.add.reduceat(self.value * w.take(self.at), first)
+        return out + self.dense @ w[self.columns :]
+
+    def transposed_times(self, u: np.ndarray, squared: bool = False) -> np.ndarray:
+        out = np.zeros(self.columns)
+        row, value, columns, first = self.by_column
+        if len(columns):
+            out[columns] = np.add.reduceat((value * value if squared else value) * u.take(row), first)
+        return np.concatenate((out, (self.dense**2 if squared else self.dense).T @ u))
 
-    def transposed_times(self, u: np.ndarray) -> np.ndarray:
-        return np.concatenate((np.bincount(self.at, self.value * u[self.row], self.columns), self.dense.T @ u))
 
+def _begins(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(sorted_) else np.zeros(0, np.int64)
+    return sorted_[first], first
 
-def fit_logistic(x: Sparse, y: np.ndarray, ridge: float = RIDGE, rounds: int = 20, start: np.ndarray | None = None) -> np.ndarray:
+
+def fit_logistic(x: Sparse, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12, start: np.ndarray | None = None, near: float = 1e-2) -> np.ndarray:
     """Weights, the bias last, of ridge logistic regression; the bias is not shrunk.
 
     Newton's method, whose steps are found by conjugate gradients, so nothing is
-    as large as the square of the number of features.
+    as large as the square of the number of features. It ends when no weight
+    moves by ``near``.
     """
     shrink = np.full(x.width + 1, ridge)
     shrink[-1] = 1e-6
@@ -169,11 +198,11 @@ def fit_logistic(x: Sparse, y: np.ndarray, ridge: float = RIDGE, rounds: int = 2
         grad = back(p - y) + shrink * w
         d = np.maximum(p * (1 - p), 1e-6)
         step, r = np.zeros(len(w)), grad.copy()
-        scale = 1 / (np.append(x_squares(x, d), d.sum()) + shrink)
+        scale = 1 / (np.append(x.transposed_times(d, True), d.sum()) + shrink)
         z = scale * r
         q, rz = z.copy(), r @ z
-        goal = 0.01 * math.sqrt(rz) if rz > 0 else 0.0
-        for _ in range(50):
+        goal = 0.1 * math.sqrt(rz) if rz > 0 else 0.0
+        for _ in range(30):
             if math.sqrt(max(0.0, rz)) <= goal:
                 break
             hq = back(d * (x.times(q[:-1]) + q[-1])) + shrink * q
@@ -185,16 +214,11 @@ def fit_logistic(x: Sparse, y: np.ndarray, ridge: float = RIDGE, rounds: int = 2
             q = z + rz / before * q
         most = np.abs(step).max()
         w -= step * min(1.0, 4.0 / max(1e-9, most))
-        if most < 1e-3:
+        if most < near:
             break
     return w
 
 
-def x_squares(x: Sparse, d: np.ndarray) -> np.ndarray:
-    """The sums of each column's squares, rows weighted by ``d``."""
-    return np.concatenate((np.bincount(x.at, x.value**2 * d[x.row], x.columns), (x.dense**2).T @ d))
-
-
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -228,18 +252,20 @@ class Chain:
             x = x.wider(sigmoid(x.times(w[:-1]) + w[-1]))
         return x.dense
 
-    def of_texts(self, texts: pa.Array, known: Memo) -> np.ndarray:
-        return self.probabilities(*feature_counts(texts, known.__getitem__, len(self.names) + 1), len(texts))
+    def of_texts(self, texts: pa.Array) -> np.ndarray:
+        return self.probabilities(*feature_counts(texts, self.known, len(self.names) + 1), len(texts))
 
-    def known(self) -> Memo:
-        """The numbers of the features of raw words."""
-        return Memo(lambda word: tuple(self.at[f] for f in features(word) if f in self.at))
+    def known(self, word: str) -> tuple[int, ...]:
+        """The numbers of the features of a raw word; ``features`` says which there are."""
+        w, get = trimmed(word), self.at.get
+        found = (get(w), get(w[:4] + "*") if len(w) > 4 else None, get(w[:5] + "*") if len(w) > 5 else None)
+        return () if found == _NONE else tuple(i for i in found if i is not None)
 
 
 def _fitted(x: Sparse, y: np.ndarray, use: np.ndarray, start: np.ndarray | None) -> np.ndarray:
     some = y[use].astype(float)
     if len(some) and 0 < some.sum() < len(some):
-        return fit_logistic(x.of_rows(use), some, start=start)
+        return fit_logistic(x.of_rows(use), some, rounds=12 if start is None else 6, start=start)
     return constant(x.width, some)
 
 
@@ -252,11 +278,11 @@ def constant(n: int, y: np.ndarray) -> np.ndarray:
 
 def _counted(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Chain(names, [], ()).known()
+        known = Chain(names, [], ()).known
         for batch in batches:
             first = 0
             for texts in text_runs(batch.column(0), _TEXT_BYTES):
-                text, at, times = feature_counts(texts, known.__getitem__, len(names) + 1)
+                text, at, times = feature_counts(texts, known, len(names) + 1)
                 ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (at, times)]
                 kept = [batch.column(k).slice(first, len(texts)) for k in range(1, batch.num_columns)]
@@ -321,11 +347,10 @@ def train(
 
 def _scored(model: Chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.known()
         for batch in batches:
             at = 0
             for texts in text_runs(batch.column(1), _TEXT_BYTES):
-                p = model.of_texts(texts, known)
+                p = model.of_texts(texts)
                 cols = [pa.array(p[:, k]) for k in range(len(model.categories))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *cols], ["id", *(f"p_{c}" for c in model.categories)])
                 at += len(texts)
@@ -345,9 +370,8 @@ def score(docs: DataFrame, model: Chain, *, id_col: str = "doc_id", text_col: st
 
 def _kept(model: Chain, at: int, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.known()
         for batch in batches:
-            stay = [model.of_texts(texts, known)[:, -1] < cut for texts in text_runs(batch.column(at), _TEXT_BYTES)]
+            stay = [model.of_texts(texts)[:, -1] < cut for texts in text_runs(batch.column(at), _TEXT_BYTES)]
             yield batch.filter(pa.array(np.concatenate([*stay, np.zeros(0, bool)])))
 
     return run
