@@ -63,16 +63,21 @@ def overlay_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: lines, words, mean confidence and the corner of the text of each page, without a shuffle."""
-    rows = page_lines(spark, sf_dir)
-    words = F.flatten(F.transform("lines", lambda ln: ln["words"]))
-    kept = F.filter(words, lambda w: layout.is_text_word(w["text"], w["confidence"]))
-    rows = rows.select("doc_id", F.size("lines").alias("n_lines"), kept.alias("w"))
-    n = F.size("w")
-    total = F.aggregate("w", F.lit(0.0), lambda a, w: a + w["confidence"])
+    """Flagship: lines, words, mean confidence and the corner of the text of each page, without a shuffle.
+
+    The words of a line share its box and their confidence, so they are counted line by line.
+    """
+    conf = F.lit(layout.WORD_CONFIDENCE)
+    words = lambda text: F.size(F.filter(split_words(text), lambda w: layout.is_text_word(w, conf)))
+    lines = layout.even_line_boxes(F.col("text"), F.lit(WIDTH), F.lit(HEIGHT))
+    counted = F.transform(lines, lambda ln: F.struct(words(ln["text"]).alias("n"), ln["bbox"].alias("bbox")))
+    rows = _texts(spark, sf_dir).select("doc_id", counted.alias("l"))
+    rows = rows.select("doc_id", F.size("l").alias("n_lines"), F.filter("l", lambda ln: ln["n"] > 0).alias("w"))
+    rows = rows.withColumn("n", F.aggregate("w", F.lit(0), lambda a, ln: a + ln["n"]))
+    n, total = F.col("n"), F.aggregate("w", F.lit(0.0), lambda a, ln: a + ln["n"] * conf)
     sy = POINTS_H / HEIGHT
-    lefts = F.transform("w", lambda w: w["bbox"]["x"] * F.lit(POINTS_W / WIDTH))
-    bottoms = F.transform("w", lambda w: F.lit(POINTS_H) - (w["bbox"]["y"] + w["bbox"]["height"]) * F.lit(sy))
+    lefts = F.transform("w", lambda ln: ln["bbox"]["x"] * F.lit(POINTS_W / WIDTH))
+    bottoms = F.transform("w", lambda ln: F.lit(POINTS_H) - (ln["bbox"]["y"] + ln["bbox"]["height"]) * F.lit(sy))
     return rows.select(
         "doc_id",
         "n_lines",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import TRIM, WS, error_rate, normalise_line, normalise_report, round_to, split_lines, tokens_report
+from ..functions.text import TRIM, WS, error_rate, normalise_line, normalise_report, report_tokens, round_to, split_lines
 from ..functions.udfs import nfkc
 from ..operators import quality
 from ..operators.progress import display_positions
@@ -38,7 +38,7 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = items.join(order.select(F.col("page_index").alias("item_id"), "position"), "item_id").select("position", F.col("text").alias("want"))
     turn = F.pmod("doc_id", F.lit(items.count())).alias("position")
     rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", turn)).join(wanted, "position")
-    toks = lambda c: tokens_report(normalise_report(F.coalesce(c, F.lit(""))))
+    toks = lambda c: report_tokens(F.coalesce(c, F.lit("")))
     return quality.token_overlap(rows.select("doc_id", toks("want").alias("expected"), toks("text").alias("actual")), ["doc_id"])
 
 

@@ -38,8 +38,16 @@ def split_words(s: Column) -> Column:
 
 def normalise_report(s: Column) -> Column:
     """For whole-page reports: straight quotes and dashes, single spaces, lower case (after NFKC, see udfs.nfkc)."""
-    s = F.translate(s, "‘’“”—–", "''\"\"--")
-    return F.lower(js_trim(F.regexp_replace(s, WS + "+", " ")))
+    return F.lower(normalise_spaces(_plain_marks(s)))
+
+
+def _plain_marks(s: Column) -> Column:
+    return F.translate(s, "‘’“”—–", "''\"\"--")
+
+
+def report_tokens(s: Column) -> Column:
+    """The tokens of ``normalise_report(s)``, on which white space has no bearing."""
+    return tokens_report(F.lower(_plain_marks(s)))
 
 
 def normalise_line(s: Column) -> Column:
@@ -49,7 +57,8 @@ def normalise_line(s: Column) -> Column:
 
 
 def normalise_spaces(s: Column) -> Column:
-    return js_trim(F.regexp_replace(s, WS + "+", " "))
+    spaced = F.translate(s, _OTHER_SPACES, " " * len(_OTHER_SPACES))
+    return F.btrim(F.regexp_replace(spaced, "  +", " "), F.lit(" "))
 
 
 def tokens_report(s: Column) -> Column:

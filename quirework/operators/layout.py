@@ -38,6 +38,17 @@ def even_lines(text: Column, width: Column, height: Column, confidence: float =
     return let(split_lines(text), placed)
 
 
+def even_line_boxes(text: Column, width: Column, height: Column) -> Column:
+    """(text, bbox) of the lines of ``even_lines``, without their words."""
+
+    def placed(lines: Column) -> Column:
+        part = height / F.size(lines)
+        one = lambda line, i: F.struct(line.alias("text"), box(F.lit(0), js_round(part * i), width, F.greatest(F.lit(1), js_round(part))).alias("bbox"))
+        return F.transform(lines, one)
+
+    return let(split_lines(text), placed)
+
+
 def even_line_rows(pages: DataFrame, keep: list[str], text: Column, width: Column, height: Column) -> DataFrame:
     """(.., line, text, bbox): the lines of ``even_lines`` as rows, without their words."""
     lines = pages.select(*keep, split_lines(text).alias("lines")).select(*keep, F.size("lines").alias("n"), F.posexplode("lines").alias("line", "text"))
