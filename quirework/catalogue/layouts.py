@@ -47,7 +47,7 @@ def layout_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf_dir: str, rotation) -> DataFrame:
-    kept = words_frame(spark, sf_dir).where(layout.is_text_word(F.col("text"), F.col("confidence")))
+    kept = words_frame(spark, sf_dir).where(layout.is_text_word(F.col("text"), F.col("confidence"), split=True))
     at = overlay.placement(
         F.col("text"), F.col("bbox"), F.lit(float(WIDTH)), F.lit(float(HEIGHT)), F.lit(POINTS_W), F.lit(POINTS_H), rotation
     )
@@ -68,7 +68,7 @@ def overlay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     The words of a line share its box and their confidence, so they are counted line by line.
     """
     conf = F.lit(layout.WORD_CONFIDENCE)
-    words = lambda text: F.size(F.filter(split_words(text), lambda w: layout.is_text_word(w, conf)))
+    words = lambda text: F.size(F.filter(split_words(text), lambda w: layout.is_text_word(w, conf, split=True)))
     lines = layout.even_line_boxes(F.col("text"), F.lit(WIDTH), F.lit(HEIGHT))
     counted = F.transform(lines, lambda ln: F.struct(words(ln["text"]).alias("n"), ln["bbox"].alias("bbox")))
     rows = _texts(spark, sf_dir).select("doc_id", counted.alias("l"))

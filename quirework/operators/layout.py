@@ -180,6 +180,6 @@ def merge_line_boxes(boxes: Column) -> Column:
     return F.aggregate(boxes, F.array().cast("array<struct<x:int,y:int,width:int,height:int>>"), step)
 
 
-def is_text_word(text: Column, confidence: Column) -> Column:
-    """Words worth placing: not blank, not a doubtful fragment, not a guess."""
-    return ~((js_trim(text) == "") | ((F.length(text) < 2) & (confidence < 0.5)) | (confidence < 0.2))
+def is_text_word(text: Column, confidence: Column, split: bool = False) -> Column:
+    """Words worth placing: not blank, not a doubtful fragment, not a guess; ``split``: of ``split_words``, without white space."""
+    return ~(((text if split else js_trim(text)) == "") | ((F.length(text) < 2) & (confidence < 0.5)) | (confidence < 0.2))
