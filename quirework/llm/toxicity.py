@@ -11,9 +11,9 @@ out; a label that is null is unknown, and its document does not train that
 category's model.
 
 Features are words and their first four and five letters, so that stems with
-many endings count as one: all that at least LEAST_DOCS documents hold and whose
-association (G2) with some category reaches LEAST_ASSOCIATION; there is no cap
-on their number. The models are fitted on a bounded sample, ``TRAIN_ROWS``
+many endings count as one: for each category's model all that at least
+LEAST_DOCS documents hold and whose association (G2) with the category reaches
+LEAST_ASSOCIATION; there is no cap on their number. The models are fitted on a bounded sample, ``TRAIN_ROWS``
 labelled documents in the order of a hash of their id, which also deals them to
 the folds; every document is scored, in whole, without a shuffle.
 
@@ -141,6 +141,11 @@ class Sparse:
     def wider(self, column: np.ndarray) -> Sparse:
         return Sparse(self.row, self.at, self.value, (self.rows, self.columns), np.hstack((self.dense, column[:, None])))
 
+    def of_columns(self, keep: np.ndarray) -> Sparse:
+        """The same columns, of which only some have entries."""
+        held = keep[self.at]
+        return Sparse(self.row[held], self.at[held], self.value[held], (self.rows, self.columns), self.dense)
+
     def of_rows(self, keep: np.ndarray) -> Sparse:
         place = np.cumsum(keep) - 1
         held = keep[self.row]
@@ -177,7 +182,7 @@ def _begins(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_[first], first
 
 
-def fit_logistic(x: Sparse, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12, start: np.ndarray | None = None, near: float = 1e-2) -> np.ndarray:
+def fit_logistic(x: Sparse, y: np.ndarray, ridge: float = RIDGE, rounds: int = 16, start: np.ndarray | None = None, near: float = 3e-3) -> np.ndarray:
     """Weights, the bias last, of ridge logistic regression; the bias is not shrunk.
 
     Newton's method, whose steps are found by conjugate gradients, so nothing is
@@ -201,7 +206,7 @@ def fit_logistic(x: Sparse, y: np.ndarray, ridge: float = RIDGE, rounds: int = 1
         scale = 1 / (np.append(x.transposed_times(d, True), d.sum()) + shrink)
         z = scale * r
         q, rz = z.copy(), r @ z
-        goal = 0.1 * math.sqrt(rz) if rz > 0 else 0.0
+        goal = 0.03 * math.sqrt(rz) if rz > 0 else 0.0
         for _ in range(30):
             if math.sqrt(max(0.0, rz)) <= goal:
                 break
@@ -231,18 +236,22 @@ class Chain:
         self.at = {f: i for i, f in enumerate(names)}
 
     @classmethod
-    def fit(cls, names: list[str], x: Sparse, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...]) -> Chain:
-        """``labels``: a column for each category, 1, 0 or, where it is unknown, -1; ``fold``: each row's."""
-        weights, seen = [], x
+    def fit(cls, names: list[str], x: Sparse, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...], uses: np.ndarray | None = None) -> Chain:
+        """``labels``: a column for each category, 1, 0 or, where it is unknown, -1; ``fold``: each row's.
+
+        ``uses``: for each category the features that its model may use; all, if it is None.
+        """
+        weights, before = [], x
         for k in range(labels.shape[1]):
             y = labels[:, k]
+            seen = before if uses is None else before.of_columns(uses[k])
             weights.append(_fitted(seen, y, y >= 0, None))
             out = np.zeros(x.rows)
             for f in np.unique(fold):
                 w = _fitted(seen, y, (y >= 0) & (fold != f), weights[-1])
                 mine = fold == f
                 out[mine] = sigmoid(seen.of_rows(mine).times(w[:-1]) + w[-1])
-            seen = seen.wider(out)
+            before = before.wider(out)
         return cls(names, weights, categories)
 
     def probabilities(self, text: np.ndarray, at: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
@@ -265,7 +274,7 @@ class Chain:
 def _fitted(x: Sparse, y: np.ndarray, use: np.ndarray, start: np.ndarray | None) -> np.ndarray:
     some = y[use].astype(float)
     if len(some) and 0 < some.sum() < len(some):
-        return fit_logistic(x.of_rows(use), some, rounds=12 if start is None else 6, start=start)
+        return fit_logistic(x.of_rows(use), some, rounds=16 if start is None else 8, start=start)
     return constant(x.width, some)
 
 
@@ -332,17 +341,19 @@ def train(
         .agg(*(F.sum(c).alias(c) for c in counts))
     )
     pairs = [(F.col(f"pos{k}"), F.col(f"neg{k}"), totals[2 * k], totals[2 * k + 1]) for k in range(len(ys))]
-    best = F.greatest(F.lit(0.0), *(_association_column(*p) for p in pairs))
+    held_by = F.col(f"pos{len(ys) - 1}") + F.col(f"neg{len(ys) - 1}")
+    reach = [_association_column(*p) >= LEAST_ASSOCIATION for p in pairs]
     # the sample bounds the features, as it bounds the words
-    kept = sums.where((F.col("pos%d" % (len(ys) - 1)) + F.col("neg%d" % (len(ys) - 1)) >= LEAST_DOCS) & (best >= LEAST_ASSOCIATION))
-    found = [r[0] for r in kept.select("f").orderBy("f").collect()]
+    kept = sums.where(held_by >= LEAST_DOCS).select("f", F.array(*reach).alias("uses")).where(F.array_contains("uses", True)).orderBy("f").collect()
+    found = [r["f"] for r in kept]
+    uses = np.array([[bool(u) for u in r["uses"]] for r in kept], bool).reshape(len(found), len(ys)).T
     schema = ", ".join(f"{y} int" for y in ys) + ", order long, fold int, at array<int>, n array<int>"
     drawn = sorted(rows.mapInArrow(_counted(found), schema).collect(), key=lambda r: r["order"])
     y = np.array([[-1 if r[c] is None else r[c] for c in ys] for r in drawn]).reshape(len(drawn), len(ys))
     row = np.repeat(np.arange(len(drawn)), [len(r["at"]) for r in drawn])
     at, n = (np.array([v for r in drawn for v in r[c]], np.int64) for c in ("at", "n"))
     x = Sparse(row, at, np.log1p(n), (len(drawn), len(found)))
-    return Chain.fit(found, x, y, np.array([r["fold"] for r in drawn], int), names)
+    return Chain.fit(found, x, y, np.array([r["fold"] for r in drawn], int), names, uses)
 
 
 def _scored(model: Chain):

@@ -340,6 +340,15 @@ def test_chain_against_brute_force():
         assert np.allclose(p, want)
 
 
+def test_a_model_uses_its_own_features():
+    rng = np.random.default_rng(2)
+    x = rng.poisson(0.7, (90, 3)).astype(float)
+    y = np.stack([x[:, 0] > 0, x[:, 1] > 0], axis=1).astype(int)
+    uses = np.array([[True, False, True], [False, True, False]])
+    got = X.Chain.fit(["a", "b", "c"], X.Sparse.of(x), y, rng.integers(0, 3, 90), ("one", "two"), uses)
+    assert got.weights[0][1] == 0 and not got.weights[1][[0, 2]].any() and got.weights[0][0] > 1 < got.weights[1][1]
+
+
 def test_feature_counts():
     of = {"a": (0, 2), "b": (1,), "c": (2,)}
     got = X.feature_counts(pa.array(["b a a", None, "c", "a z"]), lambda w: of.get(w, ()), 3)
