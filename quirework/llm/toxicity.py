@@ -45,7 +45,7 @@ TRAIN_ROWS = 10_000
 LEAST_DOCS = 4
 LEAST_ASSOCIATION = 23.93  # what one in a million features without any association reaches
 FOLDS = 3
-RIDGE = 0.1
+RIDGE = 0.03
 CUT = 0.5
 _NONE = (None, None, None)
 _TEXT_BYTES = 4 << 20  # of text that are looked through at a time
